@@ -50,7 +50,7 @@ def as_timestamp(value: Column) -> Column:
     """``yyyyMMddHHmmss[.ffffff]`` text to a timestamp without zone, null when malformed."""
     whole = F.regexp_extract(value, r"^(\d{14})(?:\.\d{1,6})?$", 1)
     micros = F.rpad(F.regexp_extract(value, r"^\d{14}\.(\d{1,6})$", 1), 6, "0")
-    return F.try_to_timestamp(F.concat(whole, micros), F.lit("yyyyMMddHHmmssSSSSSS")).cast("timestamp_ntz")
+    return F.try_to_timestamp(F.concat(whole, F.lit("."), micros), F.lit("yyyyMMddHHmmss.SSSSSS")).cast("timestamp_ntz")
 
 
 def as_values(value: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphray.functions.text import base_name, stem
 
-LINEAGE = r"^(.+?)_slice_(\d+)(?:_(.+?))?(?:_ocr_results)?(?:\.[^._]+)?$"
+LINEAGE = r"^(.+?)_slice_(\d+)(?:_(?!ocr_results(?:\.|$))(.+?))?(?:_ocr_results)?(?:\.[^._]+)?$"
 
 
 def is_image_name(path: Column) -> Column:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphray.functions.text import is_blank
+from glyphray.functions.text import is_blank, strip
 from glyphray.operators import packed
 
 NO_MODULES = "Geen modules gebruikt"  # fixed value: report text for an empty chain
@@ -70,7 +70,7 @@ REGISTRY: dict[str, Module] = {
 
 def split_names(enabled: Column) -> Column:
     """Comma list of the configuration to an ordered array of trimmed names."""
-    return F.transform(F.split(enabled, ",", -1), F.trim)
+    return F.transform(F.split(enabled, ",", -1), strip)
 
 
 def load_order(names: Iterable[str], registry: dict[str, Module] = REGISTRY) -> tuple[list[Module], list[str]]:
