@@ -45,10 +45,10 @@ def _readable(img: Column) -> Column:
 
 
 def _select(img: Column, box: Sequence[int]) -> Column:
-    """A chosen box of a colour image; an empty choice gives no image."""
+    """A chosen box as a colour image; an empty choice gives no image. Cut first, convert less."""
     x, y, w, h = (F.lit(v) for v in box)
-    colour = F.when(img["channels"] == 1, packed.to_rgb(img)).otherwise(img)
-    return packed.crop(colour, x, y, x + w, y + h)
+    cut = packed.crop(img, x, y, x + w, y + h)
+    return F.when(img["channels"] == 1, packed.to_rgb(cut)).otherwise(cut)
 
 
 REGISTRY: dict[str, Module] = {
