@@ -18,9 +18,15 @@ from glyphray.sources import dicom, files, ini, logs, nodes, sinks
 # --- bytes of files, built by Spark expressions --------------------------------------------------
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def le(n: Column, size: int) -> Column:
     """Little-endian bytes of a number."""
-    return F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright(n.cast("bigint"), 8 * i) % 256), 2, "0")) for i in range(size)])
+    digits = F.lpad(F.hex(n.cast("bigint")), 2 * size, "0")
+    return bind(digits, lambda h: F.unhex(F.concat(*[F.substring(h, 2 * i - 1, 2) for i in range(size, 0, -1)])))
 
 
 def raw(text: Column) -> Column:
@@ -30,14 +36,16 @@ def raw(text: Column) -> Column:
 def element(tag: int, vr: str, value: Column, explicit: bool = True) -> Column:
     """One header element; odd values get a padding byte."""
     pad = b"\0" if vr in ("UI", "OB", "OW") else b" "
-    even = F.when(F.length(value) % 2 == 1, F.concat(value, F.lit(pad))).otherwise(value)
-    size = F.length(even)
     head = (tag >> 16).to_bytes(2, "little") + (tag & 0xFFFF).to_bytes(2, "little")
-    if not explicit:
-        return F.concat(F.lit(head), le(size, 4), even)
-    if vr in dicom.LONG_TYPES:
-        return F.concat(F.lit(head + vr.encode() + b"\0\0"), le(size, 4), even)
-    return F.concat(F.lit(head + vr.encode()), le(size, 2), even)
+    width = 4
+    if explicit:
+        head += vr.encode()
+        if vr in dicom.LONG_TYPES:
+            head += b"\0\0"
+        else:
+            width = 2
+    even = bind(value, lambda v: F.concat(v, F.substring(F.lit(pad), 1, F.length(v) % 2)))
+    return bind(even, lambda v: F.concat(F.lit(head), le(F.length(v), width), v))
 
 
 def sequence(tag: int, item: Column, explicit: bool = True) -> Column:
@@ -89,14 +97,13 @@ def order_files(spark, sf: str) -> DataFrame:
             e(0x7FE00010, "OW", F.encode(F.repeat(F.lit("AZ"), 40), "utf-8")),
         ]
 
-    good = F.when(key % 2 == 0, dicom_file(body(True), EXPLICIT)).otherwise(dicom_file(body(False), IMPLICIT))
-    content = (
-        F.when(key % 50 == 7, F.substring(good, 1, 260))
-        .when(key % 50 == 9, F.lit(b"no header here"))
-        .when(key % 50 == 11, dicom_file(body(True), dicom.BIG))
-        .otherwise(good)
-    )
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("path"), content.alias("content"))
+    def whole(explicit: bool, syntax: str) -> Column:
+        return dicom_file(body(explicit), syntax)
+
+    orders = table(spark, sf, "orders")
+    kinds = F.when(key % 50 == 11, whole(True, dicom.BIG)).when(key % 2 == 0, whole(True, EXPLICIT)).otherwise(whole(False, IMPLICIT))
+    content = F.when(key % 50 == 7, F.substring("whole", 1, 260)).when(key % 50 == 9, F.lit(b"no header here")).otherwise(F.col("whole"))
+    return orders.withColumn("whole", kinds).select(F.col("o_orderkey").alias("path"), content.alias("content"))
 
 
 _TAG_ROWS = """good AS (SELECT * FROM orders WHERE o_orderkey % 50 NOT IN (7, 9, 11)),

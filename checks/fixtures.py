@@ -27,7 +27,7 @@ def gray_pixels(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
     cell = lambda p, i: F.struct(
         F.floor(i / SIDE).cast("int").alias("y"), (i % SIDE).cast("int").alias("x"), p.alias("p")
     )
-    return _images(spark, sf).select("image_id", *extra, "height", "width", F.inline(F.transform("v", cell)))
+    return _images(spark, sf).select("image_id", *extra, "height", "width", F.inline_outer(F.transform("v", cell)))
 
 
 def colour_pixels(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,7 +38,7 @@ def colour_pixels(spark: SparkSession, sf: str) -> DataFrame:
         F.get("v", ((i + 1) % n).cast("int")).alias("g"),
         F.get("v", ((i + 2) % n).cast("int")).alias("r"),
     )
-    return _images(spark, sf).select("image_id", "height", "width", F.inline(F.transform("v", cell)))
+    return _images(spark, sf).select("image_id", "height", "width", F.inline_outer(F.transform("v", cell)))
 
 
 def as_bytes(levels: Column) -> Column:

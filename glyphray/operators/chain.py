@@ -176,7 +176,7 @@ def recognize(images: DataFrame, make_reader: Callable[[], Callable], img: str =
             yield pa.array(out, _OCR)
 
     read.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    udf = F.arrow_udf(read, f"struct<lines:{OCR_LINES},ocr_error:string>")
+    udf = packed.once(F.arrow_udf(read, f"struct<lines:{OCR_LINES},ocr_error:string>"))
     return images.withColumn("__ocr", udf(F.col(img))).select("*", "__ocr.*").drop("__ocr")
 
 

@@ -105,6 +105,15 @@ def _cubic(a, factor):
     return np.clip((s + (1 << 15)) >> 16, 0, 255)
 
 
+def once(udf):
+    """Keep the optimizer from evaluating a costly function twice.
+
+    Exploding a function's result makes Spark infer a filter on that result and push it, function
+    included, down to the scan; marked as non-deterministic the function stays in one place.
+    """
+    return udf.asNondeterministic()
+
+
 def _lift(kernel, channels: int | None = None):
     """Arrow scalar function around a kernel; null stays null, a wrong channel count gives null."""
 
@@ -123,7 +132,7 @@ def _lift(kernel, channels: int | None = None):
         return pa.array(out, _ARROW)
 
     run.__annotations__ = {"images": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, IMAGE)
+    return once(F.arrow_udf(run, IMAGE))
 
 
 def to_gray(img: Column) -> Column:
@@ -214,7 +223,7 @@ def split_bands(df: DataFrame, rows: int, halo: int, img: str = "image") -> Data
     taken = F.least(i["height"], y0 + rows + halo) - (y0 - top)
     stride = i["width"] * i["channels"]
     return df.withColumn(
-        "band", F.explode(F.sequence(F.lit(0), F.floor((i["height"] - 1) / rows).cast("int")))
+        "band", F.explode_outer(F.sequence(F.lit(0), F.floor((i["height"] - 1) / rows).cast("int")))
     ).withColumns(
         {
             "y0": y0,
@@ -235,16 +244,12 @@ def trim_bands(df: DataFrame, img: str = "image") -> DataFrame:
 # --- between the two forms ---------------------------------------------------------------------
 
 
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def bytes_to_ints(data: pa.Array) -> pa.Array:
+def _bytes_to_ints(data: pa.Array) -> pa.Array:
     out = [np.frombuffer(d.as_buffer(), np.uint8).astype(np.int32) if d.is_valid else None for d in data]
     return pa.array(out, pa.list_(pa.int32()))
 
 
-@F.arrow_udf(T.BinaryType())
-def ints_to_bytes(values: pa.Array) -> pa.Array:
-    out = [None if not v.is_valid else v.values.to_numpy(zero_copy_only=False).astype(np.uint8).tobytes() for v in values]
-    return pa.array(out, pa.binary())
+bytes_to_ints = once(F.arrow_udf(_bytes_to_ints, T.ArrayType(T.IntegerType())))
 
 
 def unpack(df: DataFrame, img: str = "image") -> DataFrame:
@@ -255,7 +260,7 @@ def unpack(df: DataFrame, img: str = "image") -> DataFrame:
     return (
         df.select(*keep, i["height"].alias("height"), i["width"].alias("width"),
                   i["channels"].alias("channels"), size.alias("__size"), bytes_to_ints(i["data"]).alias("__v"))
-        .select(*keep, "height", "width", "channels", "__size", F.posexplode("__v").alias("__i", "v"))
+        .select(*keep, "height", "width", "channels", "__size", F.posexplode_outer("__v").alias("__i", "v"))
         .select(
             *keep, "height", "width",
             F.floor(F.col("__i") / F.col("__size")).cast("int").alias("y"),

@@ -96,7 +96,8 @@ def pad_border(df: DataFrame, axis: str, before: int, after: int, mode: str = "r
         inner = (at > before) & (at < n - 1 - after)
     else:
         raise ValueError(f"unknown border mode {mode!r}")
-    return df.withColumn(pos, F.explode(F.when(inner, here).otherwise(spots)))
+    # never empty: the outer form spares the plan a filter on the array's size
+    return df.withColumn(pos, F.explode_outer(F.when(inner, here).otherwise(spots)))
 
 
 def _line(keys: Sequence[str], axis: str):
