@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.fixtures import CPX, GRAY, PX, box_mean_sql, packed_colour, packed_gray
+from checks.fixtures import CPX, GRAY, PX, ROIS, box_mean_sql, nation_rois, packed_colour, packed_gray
 from checks.registry import query, table
+from glyphray.functions.names import slice_name
 from glyphray.operators import chain, headers, packed, reports
+from glyphray.plans.images import crop_images, read_text, report
 
 
 
@@ -244,3 +246,31 @@ def nested_flatten(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", nested.alias("sequence"))
     flat = headers.flatten_items(rows, "sequence")
     return flat.withColumn("item_path", F.array_join(F.col("item_path").cast("array<string>"), "/")).withColumnRenamed("item_path", "path")
+
+
+# --- whole image flow --------------------------------------------------------------------------
+
+
+def _white_counter():
+    """Stand-in recogniser: per image line the number of white pixels, blank where there are none."""
+    def read(image):
+        for y, line in enumerate((image == 255).sum(axis=(1, 2))):
+            yield [(0, y), (1, y)], str(line) if line else " ", 1.0
+
+    return read
+
+
+@query("crop_and_read", f"""WITH {CPX}, {ROIS}, named AS (SELECT *, '1.' || image_id || '_slice_1_' || label || '.jpg' AS path FROM (
+  SELECT cpx.image_id, rois.label, y - greatest(y1, 0) AS line, CASE WHEN {GRAY} > 127 THEN 1 ELSE 0 END AS w FROM cpx JOIN rois ON x >= x1 AND x < x2 AND y >= y1 AND y < y2)),
+l AS (SELECT path, line, sum(w) AS n FROM named GROUP BY ALL), i AS (SELECT DISTINCT path FROM named)
+SELECT path AS image_path, 0 AS part, CAST(0 AS BIGINT) AS line_no, 'Resultaten voor afbeelding: ' || path AS line FROM i
+UNION ALL SELECT path, 1, 0, 'Gebruikte modules: convert_black_white' FROM i
+UNION ALL SELECT path, 2, line, CAST(n AS VARCHAR) FROM l WHERE n > 0
+UNION ALL SELECT path, 3, 0, '' FROM i""")
+def crop_and_read(spark, sf):
+    """Images and regions to crops, module chain, recogniser, report lines."""
+    images = packed_colour(spark, sf).select(
+        slice_name(F.concat(F.lit("1."), F.col("image_id")), F.lit(1)).alias("image_name"), "image"
+    )
+    crops = crop_images(images, nation_rois(spark, sf)).filter("image is not null")
+    return report(read_text(crops, [_BW], _white_counter))

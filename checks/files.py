@@ -106,15 +106,17 @@ def order_files(spark, sf: str) -> DataFrame:
     return orders.withColumn("whole", kinds).select(F.col("o_orderkey").alias("path"), content.alias("content"))
 
 
-_TAG_ROWS = """good AS (SELECT * FROM orders WHERE o_orderkey % 50 NOT IN (7, 9, 11)),
+_INNER = """'[{"PatientName": "UNKNOWN", "PatientID": "UNKNOWN", "(0008,0104) Code Meaning": "' || o_orderpriority || '"}]'"""
+_OUTER = f"""'[{{"PatientName": "UNKNOWN", "PatientID": "UNKNOWN", "(0008,0100) Code Value": "' || o_orderstatus || '", "(0040,A043) Concept Name Code Sequence": ' || {_INNER} || '}}]'"""
+_TAG_ROWS = f"""good AS (SELECT * FROM orders WHERE o_orderkey % 50 NOT IN (7, 9, 11)),
 tags AS (
   SELECT o_orderkey, 0 AS depth, '' AS item_path, 0 AS ord, '(0008,0005)' AS tag, 'Specific Character Set' AS name, 'CS' AS vr, 'ISO_IR 192' AS value FROM good
   UNION ALL SELECT o_orderkey, 0, '', 1, '(0008,0008)', 'Image Type', 'CS', '[''DERIVED'', ''' || o_orderstatus || ''']' FROM good
   UNION ALL SELECT o_orderkey, 0, '', 2, '(0008,0018)', 'SOP Instance UID', 'UI', '1.2.' || o_orderkey FROM good
   UNION ALL SELECT o_orderkey, 0, '', 3, '(0008,0020)', 'Study Date', 'DA', strftime(o_orderdate, '%Y%m%d') FROM good
-  UNION ALL SELECT o_orderkey, 0, '', 4, '(0008,1140)', 'Referenced Image Sequence', 'SQ', NULL FROM good
+  UNION ALL SELECT o_orderkey, 0, '', 4, '(0008,1140)', 'Referenced Image Sequence', 'SQ', {_OUTER} FROM good
   UNION ALL SELECT o_orderkey, 1, '4/0', 0, '(0008,0100)', 'Code Value', 'SH', o_orderstatus FROM good
-  UNION ALL SELECT o_orderkey, 1, '4/0', 1, '(0040,A043)', 'Concept Name Code Sequence', 'SQ', NULL FROM good
+  UNION ALL SELECT o_orderkey, 1, '4/0', 1, '(0040,A043)', 'Concept Name Code Sequence', 'SQ', {_INNER} FROM good
   UNION ALL SELECT o_orderkey, 2, '4/0/1/0', 0, '(0008,0104)', 'Code Meaning', 'LO', o_orderpriority FROM good
   UNION ALL SELECT o_orderkey, 0, '', 5, '(0010,0010)', 'Patient''s Name', 'PN', 'Tést^' || o_custkey FROM good
   UNION ALL SELECT o_orderkey, 0, '', 6, '(0010,0020)', 'Patient ID', 'LO', CAST(o_orderkey AS VARCHAR) FROM good
@@ -150,15 +152,12 @@ def scan_files(spark, sf):
 @query("dump_headers", f"""WITH {_TAG_ROWS}, top AS (SELECT * FROM tags WHERE depth = 0)
 SELECT o_orderkey, 'Tést_' || max(o_custkey) || '_' || o_orderkey || '.json' AS patient_key,
        'PatientName=Tést^' || max(o_custkey) || ';PatientID=' || o_orderkey || ';'
-       || string_agg(tag || ' ' || name || '=' || coalesce(value, '1 item'), ';' ORDER BY ord) AS header
+       || string_agg(tag || ' ' || name || '=' || value, ';' ORDER BY ord) AS header
 FROM top JOIN orders USING (o_orderkey) GROUP BY o_orderkey""")
 def dump_headers_query(spark, sf):
     """Whole header path: bytes, tags, one map per file."""
     docs = header_documents(order_files(spark, sf).withColumn("modificationTime", F.lit(0)))
-    pairs = F.transform(
-        F.map_entries("header"),
-        lambda e: F.concat(e["key"], F.lit("="), F.when(e["value"].startswith("[{"), "1 item").otherwise(e["value"])),
-    )
+    pairs = F.transform(F.map_entries("header"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return docs.select(F.col("path").alias("o_orderkey"), "patient_key", F.array_join(pairs, ";").alias("header"))
 
 

@@ -259,7 +259,7 @@ def parse_lineage(spark, sf):
 
 
 @query("complete_config", """
-WITH c AS (SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN '  ' ELSE ' NATION_' || (s_suppkey % 40) || ' ' END AS stream,
+WITH c AS (SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN '  ' ELSE ' NATION_' || (20 + s_suppkey % 40) || ' ' END AS stream,
                   CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE s_name END AS script FROM supplier)
 SELECT s_suppkey, trim(stream) AS stream FROM c
 WHERE trim(stream) <> '' AND script <> '' AND trim(stream) NOT IN (SELECT n_name FROM nation)""")
@@ -267,7 +267,7 @@ def complete_config(spark, sf):
     key = F.col("s_suppkey")
     candidates = table(spark, sf, "supplier").select(
         key,
-        F.when(key % 5 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" NATION_"), key % 40, F.lit(" "))).alias("stream"),
+        F.when(key % 5 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" NATION_"), key % 40 + 20, F.lit(" "))).alias("stream"),
         F.lit("/in").alias("input_map"),
         F.when(key % 7 == 0, F.lit("")).otherwise(F.col("s_name")).alias("docker_script"),
         F.lit("/map").alias("docker_map"), F.lit("c.json").alias("config_file"),

@@ -21,8 +21,6 @@ def build_session(app: str = "glyphray", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        # image rows are large: small Arrow batches keep Python workers within memory
-        "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
         "spark.ui.enabled": "false",
     }
     settings.update(conf)

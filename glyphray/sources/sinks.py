@@ -22,7 +22,7 @@ def write_header_json(headers: DataFrame, path: str, buckets: int = 256) -> None
     (
         docs.withColumn("bucket", F.pmod(F.xxhash64("patient_key"), F.lit(buckets)))
         .select("bucket", "patient_key", "header")
-        .repartition("bucket")
+        .hint("rebalance", F.col("bucket"))  # whole buckets per task where small, split where large
         .write.mode("overwrite").partitionBy("bucket").json(path)
     )
 
