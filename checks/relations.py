@@ -198,9 +198,7 @@ def action_counts(spark, sf):
 SELECT p_brand AS config, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS roi_no FROM part""")
 def roi_numbering(spark, sf):
     rois = table(spark, sf, "part").select(F.col("p_brand").alias("config"), "p_partkey")
-    return runs.numbered(rois, ["config"], ["p_partkey"], runs.block("p_partkey", 500), "roi_no").withColumn(
-        "roi_no", F.col("roi_no").cast("bigint")
-    )
+    return runs.numbered(rois, ["config"], ["p_partkey"], runs.block("p_partkey", 500), "roi_no")
 
 
 @query("roi_last_wins", """

@@ -42,33 +42,31 @@ def action_counts(actions: DataFrame, names: Sequence[str], label: str = "label"
     return actions.groupBy(label).pivot(action, list(names)).count().na.fill(0)
 
 
-def with_run(logs: DataFrame, source: str, ts: str, tie: str, message: str = "message",
-             slot: int = SLOT_SECONDS) -> DataFrame:
-    """Adds ``run_id``: how many runs the source has started so far."""
-    marked = logs.withColumn("__start", (F.col(message) == RUN_START).cast("int"))
-    return running_sum(marked, [source], [ts, tie], time_slot(ts, slot), "__start", "run_id").drop("__start")
-
-
 def stage_durations(logs: DataFrame, source: str = "source", ts: str = "ts", tie: str = "line_no",
                     message: str = "message", slot: int = SLOT_SECONDS) -> DataFrame:
-    """Start and end of every stage; the end is null where the next mark is not its stop."""
+    """Start and end of every stage per run; the end is null where the next mark is not its stop.
+
+    A run is counted by the start messages its source has written so far.
+    """
     m = F.col(message)
-    runs = with_run(logs, source, ts, tie, message, slot)
     begins, ends = F.regexp_extract(m, STAGE_START, 1), F.regexp_extract(m, STAGE_STOP, 1)
-    marks = runs.withColumns(
-        {
-            "stage": F.when(begins != "", begins).when(ends != "", ends),
-            "__stop": F.when(ends != "", F.col(ts)),
-            "__begins": begins != "",
-        }
-    ).filter("stage is not null")
-    paired = next_value(
-        marks.select(source, "run_id", "stage", ts, tie, "__begins", "__stop"),
-        [source, "run_id", "stage"], [ts, tie], time_slot(ts, slot), "__stop", "ended",
+    mark = (
+        F.when(m == RUN_START, "run")
+        .when(begins != "", F.concat(F.lit("+"), begins))
+        .when(ends != "", F.concat(F.lit("-"), ends))
     )
-    return paired.filter("__begins").select(
-        source, "run_id", "stage", tie, F.col(ts).alias("started"), "ended"
+    marks = logs.select(source, ts, tie, mark.alias("mark")).filter("mark is not null")
+    is_run = (F.col("mark") == "run").cast("int")
+    bucket = time_slot(ts, slot)
+    runs = running_sum(marks, [source], [ts, tie], bucket, is_run, ["mark"], "run_id")
+    stages = runs.filter("mark <> 'run'").select(
+        source, "run_id", F.substring("mark", 2, 255).alias("stage"), ts, tie, F.col("mark").startswith("-").alias("is_stop")
     )
+    paired = next_value(
+        stages, [source, "run_id", "stage"], [ts, tie], bucket,
+        F.when(F.col("is_stop"), F.col(ts)), ["is_stop"], "ended",
+    )
+    return paired.filter("not is_stop").select(source, "run_id", "stage", tie, F.col(ts).alias("started"), "ended")
 
 
 def up_intervals(actions: DataFrame, started: Column, stopped: Column, node: str = "label", ts: str = "ts",
@@ -77,16 +75,13 @@ def up_intervals(actions: DataFrame, started: Column, stopped: Column, node: str
 
     Repeated starts without a stop in between belong to one island.
     """
-    marks = actions.filter(started | stopped).withColumn("__up", started.cast("int")).select(node, ts, tie, "__up")
+    marks = actions.filter(started | stopped).select(node, ts, tie, started.alias("up"))
     bucket = time_slot(ts, slot)
-    seen = previous_value(marks, [node], [ts, tie], bucket, "__up", "__was")
+    seen = previous_value(marks, [node], [ts, tie], bucket, F.col("up"), ["up"], "was")
     # what remains alternates: a start that opens an island, the stop that closes it
-    edges = seen.filter(
-        ((F.col("__up") == 1) & (F.coalesce("__was", F.lit(0)) == 0))
-        | ((F.col("__up") == 0) & (F.col("__was") == 1))
-    ).drop("__was")
-    closed = next_value(edges, [node], [ts, tie], bucket, ts, "down_at")
-    return closed.filter("__up = 1").select(node, F.col(ts).alias("up_at"), "down_at")
+    edges = seen.filter(F.col("up") != F.coalesce("was", F.lit(False))).drop("was")
+    closed = next_value(edges, [node], [ts, tie], bucket, F.col(ts), ["up"], "down_at")
+    return closed.filter("up").select(node, F.col(ts).alias("up_at"), "down_at")
 
 
 def sessions(beats: DataFrame, gap_seconds: int, node: str = "node", ts: str = "ts", tie: str = "event_id",
@@ -97,13 +92,12 @@ def sessions(beats: DataFrame, gap_seconds: int, node: str = "node", ts: str = "
     most of the beats is still spread over time slots.
     """
     bucket = time_slot(ts, slot)
-    lagged = previous_value(beats.select(node, ts, tie), [node], [ts, tie], bucket, ts, "__before")
-    late = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("__before").cast("timestamp"))
-    fresh = F.col("__before").isNull() | (late >= gap_seconds * 1_000_000)
-    numbered = running_sum(
-        lagged.withColumn("__new", fresh.cast("int")), [node], [ts, tie], bucket, "__new", "session_no"
-    )
-    return numbered.groupBy(node, "session_no").agg(
+    lagged = previous_value(beats.select(node, ts, tie), [node], [ts, tie], bucket, F.col(ts), [], "before")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    fresh = F.col("before").isNull() | (micros(ts) - micros("before") >= gap_seconds * 1_000_000)
+    starts = lagged.select(node, ts, tie, fresh.cast("int").alias("fresh"))
+    counted = running_sum(starts, [node], [ts, tie], bucket, F.col("fresh"), ["fresh"], "session_no")
+    return counted.groupBy(node, "session_no").agg(
         F.min(ts).alias("first_beat"), F.max(ts).alias("last_beat"), F.count(F.lit(1)).alias("beats")
     )
 

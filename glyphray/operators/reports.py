@@ -33,18 +33,33 @@ def report_lines(images: DataFrame, texts: DataFrame, image: str = "image_path",
     A report is a file of lines, so lines stay rows: no image's text is ever gathered in one place.
     Write with ``sinks.write_lines`` ordered by image, part and line number.
     """
-    head = F.array(
-        F.struct(F.lit(0).alias("part"), F.concat(F.lit(IMAGE_HEAD), F.col(image)).alias("line")),
-        F.struct(F.lit(1).alias("part"), F.concat(F.lit(MODULES_HEAD), used_modules_text(F.col(used))).alias("line")),
-        F.struct(F.lit(3).alias("part"), F.lit("").alias("line")),
-    )
-    frame = images.select(image, F.inline(head)).withColumn(line_no, F.lit(0).cast("bigint"))
+    frame = images.select(image, F.inline(_frame(F.col(image), F.col(used))))
     body = texts.filter(~is_blank(F.col(text))).select(
-        image, F.lit(2).alias("part"), F.col(text).alias("line"), F.col(line_no).cast("bigint").alias(line_no)
+        image, F.lit(2).alias("part"), F.col(line_no).cast("bigint").alias("line_no"), F.col(text).alias("line")
     )
     return frame.unionByName(body)
 
 
+def _row(part: int, line: Column, line_no: Column | None = None) -> Column:
+    number = F.lit(0) if line_no is None else line_no
+    return F.struct(F.lit(part).alias("part"), number.cast("bigint").alias("line_no"), line.alias("line"))
+
+
+def _frame(image: Column, used: Column) -> Column:
+    return F.array(
+        _row(0, F.concat(F.lit(IMAGE_HEAD), image)),
+        _row(1, F.concat(F.lit(MODULES_HEAD), used_modules_text(used))),
+        _row(3, F.lit("")),
+    )
+
+
+def report_rows(read: DataFrame, lines: Column, image: str = "image_path", used: str = "used") -> DataFrame:
+    """Same rows where the recognised lines of an image are still at hand: a plain projection."""
+    kept = F.filter(lines, lambda x: ~is_blank(x["text"]))
+    body = F.transform(kept, lambda x: _row(2, x["text"], x["line_no"]))
+    return read.select(image, F.inline_outer(F.concat(_frame(F.col(image), F.col(used)), body)))
+
+
 def concept(code: Column, meaning: Column, text: Column) -> Column:
     return F.struct(
         F.lit("CONTAINS").alias("relationship"),

@@ -18,11 +18,16 @@ PART = "__part"
 CARRY = "__carry"
 
 
+def _order_key(order: Sequence[str]) -> Column:
+    return F.struct(*[F.col(o) for o in order])
+
+
 def _scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     bucket: Column,
+    uses: Sequence[str],
     summary: Column,
     carry,
     local,
@@ -31,48 +36,55 @@ def _scan(
     """Shared two-step shape: ``carry(window)`` over summaries, ``local(window, carry)`` per bucket.
 
     Keys and bucket form one struct: it is never null, so null keys meet in the join, and join and
-    window agree on one partitioning, hence one exchange of the rows.
+    window agree on one partitioning. When ``df`` holds nothing but keys, order and ``uses``, summary
+    and rows read one and the same exchange, so the input is computed once; a wider ``df`` gets its
+    summary from a second, column-pruned pass that combines before it shuffles.
     """
-    cut = df.withColumn(PART, F.struct(*keys, bucket.alias("bucket")))
-    across = Window.partitionBy(*[F.col(PART)[k] for k in keys]).orderBy(F.col(PART)["bucket"])
+    part = F.struct(*keys, bucket.alias("bucket")).alias(PART)
+    narrow = list(dict.fromkeys([*order, *uses]))
+    one_pass = set(df.columns) <= {*keys, *narrow}
+    if one_pass:
+        cut = df.select(part, *[c for c in narrow if c not in keys]).repartition(PART)
+    else:
+        cut = df.select("*", part)
+    across = Window.partitionBy(*[F.col(PART)[k] for k in keys]).orderBy("__end")
     carried = (
-        cut.groupBy(PART).agg(summary.alias("__sum")).select(PART, carry(across).alias(CARRY))
+        cut.groupBy(PART)
+        .agg(summary.alias("__sum"), F.max(_order_key(order)).alias("__end"))
+        .select(PART, carry(across).alias(CARRY))
     )
     within = Window.partitionBy(PART).orderBy(*order)
-    return (
-        cut.join(carried, PART, "left")
-        .withColumn(out, local(within, F.col(CARRY)))
-        .drop(PART, CARRY)
-    )
+    joined = cut.join(carried, PART, "left").withColumn(out, local(within, F.col(CARRY)))
+    if one_pass:
+        joined = joined.withColumns({k: F.col(PART)[k] for k in keys})
+    return joined.select(*df.columns, out)
 
 
-def _order_key(order: Sequence[str]) -> Column:
-    return F.struct(*[F.col(o) for o in order])
+def _before(w):
+    return w.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _so_far(w):
+    return w.rowsBetween(Window.unboundedPreceding, 0)
 
 
 def last_known(df, keys, order, bucket, value: str, out: str) -> DataFrame:
     """Latest non-null ``value`` up to and including the row."""
     latest = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), _order_key(order)))
     return _scan(
-        df, keys, order, bucket, latest,
-        lambda w: F.last("__sum", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-        lambda w, c: F.coalesce(
-            F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), c
-        ),
+        df, keys, order, bucket, [value], latest,
+        lambda w: F.last("__sum", ignorenulls=True).over(_before(w)),
+        lambda w, c: F.coalesce(F.last(value, ignorenulls=True).over(_so_far(w)), c),
         out,
     )
 
 
-def running_sum(df, keys, order, bucket, value: str, out: str) -> DataFrame:
-    """Sum of ``value`` up to and including the row."""
+def running_sum(df, keys, order, bucket, amount: Column, uses: Sequence[str], out: str) -> DataFrame:
+    """Sum of ``amount`` (an expression over the columns ``uses``) up to and including the row."""
     return _scan(
-        df, keys, order, bucket, F.sum(value),
-        lambda w: F.coalesce(
-            F.sum("__sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ),
-        lambda w, c: c + F.coalesce(
-            F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)
-        ),
+        df, keys, order, bucket, uses, F.sum(amount),
+        lambda w: F.coalesce(F.sum("__sum").over(_before(w)), F.lit(0)),
+        lambda w, c: c + F.coalesce(F.sum(amount).over(_so_far(w)), F.lit(0)),
         out,
     )
 
@@ -80,33 +92,31 @@ def running_sum(df, keys, order, bucket, value: str, out: str) -> DataFrame:
 def numbered(df, keys, order, bucket, out: str) -> DataFrame:
     """Position of the row within its key, from 1."""
     return _scan(
-        df, keys, order, bucket, F.count(F.lit(1)),
-        lambda w: F.coalesce(
-            F.sum("__sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ),
+        df, keys, order, bucket, [], F.count(F.lit(1)),
+        lambda w: F.coalesce(F.sum("__sum").over(_before(w)), F.lit(0)),
         lambda w, c: c + F.row_number().over(w),
         out,
     )
 
 
-def next_value(df, keys, order, bucket, value: str, out: str) -> DataFrame:
+def next_value(df, keys, order, bucket, value: Column, uses: Sequence[str], out: str) -> DataFrame:
     """``value`` of the following row, null at the end of the key."""
-    first = F.min_by(F.struct(F.col(value).alias("v")), _order_key(order))
+    boxed = F.struct(value.alias("v"))
     return _scan(
-        df, keys, order, bucket, first,
+        df, keys, order, bucket, uses, F.min_by(boxed, _order_key(order)),
         lambda w: F.lead("__sum").over(w),
-        lambda w, c: F.coalesce(F.lead(F.struct(F.col(value).alias("v"))).over(w), c)["v"],
+        lambda w, c: F.coalesce(F.lead(boxed).over(w), c)["v"],
         out,
     )
 
 
-def previous_value(df, keys, order, bucket, value: str, out: str) -> DataFrame:
+def previous_value(df, keys, order, bucket, value: Column, uses: Sequence[str], out: str) -> DataFrame:
     """``value`` of the preceding row, null at the start of the key."""
-    last = F.max_by(F.struct(F.col(value).alias("v")), _order_key(order))
+    boxed = F.struct(value.alias("v"))
     return _scan(
-        df, keys, order, bucket, last,
+        df, keys, order, bucket, uses, F.max_by(boxed, _order_key(order)),
         lambda w: F.lag("__sum").over(w),
-        lambda w, c: F.coalesce(F.lag(F.struct(F.col(value).alias("v"))).over(w), c)["v"],
+        lambda w, c: F.coalesce(F.lag(boxed).over(w), c)["v"],
         out,
     )
 

@@ -32,14 +32,14 @@ def crop_images(images: DataFrame, rois: DataFrame) -> DataFrame:
 
 
 def read_text(crops: DataFrame, modules: Sequence[chain.Module], make_reader: Callable[[], Callable]) -> DataFrame:
-    """Report rows for cropped images: chain, recogniser, blank lines dropped."""
+    """``image_path, used, lines, ocr_error`` for cropped images: module chain, then recogniser."""
     done = chain.processed_or_original(crops, modules)
-    read = chain.recognize(done, make_reader).select("image_path", "used", "lines", "ocr_error")
-    return read
+    return chain.recognize(done, make_reader).select("image_path", "used", "lines", "ocr_error")
 
 
 def report(read: DataFrame) -> DataFrame:
-    return reports.report_lines(read.select("image_path", "used"), read.select("image_path", F.inline("lines")))
+    """Report rows straight from each recognised image, so the recogniser runs once."""
+    return reports.report_rows(read, F.col("lines"))
 
 
 def named_slices(slices: DataFrame) -> DataFrame:
