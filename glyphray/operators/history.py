@@ -38,8 +38,8 @@ def run_counts(logs: DataFrame, keys: Sequence[str], message: str = "message") -
 
 
 def action_counts(actions: DataFrame, names: Sequence[str], label: str = "label", action: str = "action") -> DataFrame:
-    """One row per node, one column per named action; naming them avoids a pass to find them."""
-    return actions.groupBy(label).pivot(action, list(names)).count().na.fill(0)
+    """One row per node, one column per named action: a pivot with known columns, one exchange."""
+    return actions.groupBy(label).agg(*[F.count_if(F.col(action) == n).alias(n) for n in names])
 
 
 def stage_durations(logs: DataFrame, source: str = "source", ts: str = "ts", tie: str = "line_no",

@@ -47,10 +47,13 @@ def _scan(
         cut = df.select(part, *[c for c in narrow if c not in keys]).repartition(PART)
     else:
         cut = df.select("*", part)
-    across = Window.partitionBy(*[F.col(PART)[k] for k in keys]).orderBy("__end")
+    # buckets alone order the summaries; the order columns come along so that both uses of ``cut``
+    # need the same columns, which is what lets Spark reuse the exchange
+    ends = {f"__end{i}": F.max(o) for i, o in enumerate(order)}
+    across = Window.partitionBy(*[F.col(PART)[k] for k in keys]).orderBy(F.col(PART)["bucket"], *ends)
     carried = (
         cut.groupBy(PART)
-        .agg(summary.alias("__sum"), F.max(_order_key(order)).alias("__end"))
+        .agg(summary.alias("__sum"), *[e.alias(n) for n, e in ends.items()])
         .select(PART, carry(across).alias(CARRY))
     )
     within = Window.partitionBy(PART).orderBy(*order)

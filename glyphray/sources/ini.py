@@ -11,7 +11,7 @@ from glyphray.functions.text import strip
 def read_ini_text(spark: SparkSession, path: str) -> DataFrame:
     """Configuration files as ``source, content``; a configuration file is small by nature."""
     return (
-        spark.read.option("wholetext", "true").text(path)
+        spark.read.text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("content"))
     )
 
@@ -22,9 +22,6 @@ def read_ini(texts: DataFrame) -> DataFrame:
     Keys are lower-cased, values trimmed, full-line comments dropped, and indented lines continue
     the value above. Each file is one row, so its lines are walked in place, without a shuffle.
     """
-    line = F.col("line")
-    body = strip(line)
-    skip = (body == "") | body.startswith("#") | body.startswith(";")
     lines = F.filter(
         F.split("content", "\r?\n", -1),
         lambda s: ~((strip(s) == "") | strip(s).startswith("#") | strip(s).startswith(";")),
@@ -38,10 +35,11 @@ def read_ini(texts: DataFrame) -> DataFrame:
         head = F.regexp_extract(strip(s), r"^\[([^\]]+)\]", 1)
         indented = s.rlike(r"^\s") & (F.size(acc["rows"]) > 0)
         entry = r"^([^=:]*?)\s*[=:]\s*(.*)$"
+        known = strip(s).rlike(entry)
         row = F.struct(
             acc["section"].alias("section"),
-            F.lower(F.regexp_extract(strip(s), entry, 1)).alias("key"),
-            F.regexp_extract(strip(s), entry, 2).alias("value"),
+            F.when(known, F.lower(F.regexp_extract(strip(s), entry, 1))).alias("key"),
+            F.when(known, F.regexp_extract(strip(s), entry, 2)).otherwise(strip(s)).alias("value"),
         )
         last = F.element_at(acc["rows"], -1)
         longer = F.struct(

@@ -94,7 +94,11 @@ def registry_lines(nodes: DataFrame) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str, order: list[str | Column], line: str = "line") -> None:
-    """Text output in order: range partitioning keeps files sorted among and within themselves."""
+    """Text output in order: range partitioning keeps files sorted among and within themselves.
+
+    Finding the ranges samples the input first; behind a recogniser, store the lines
+    (``append_report``) and render them from there.
+    """
     (
         lines.repartitionByRange(*order).sortWithinPartitions(*order)
         .select(F.col(line).alias("value")).write.mode("overwrite").text(path)
