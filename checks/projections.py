@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import query, table
 from glyphray.functions import header, names, roi
 from glyphray.operators import chain, headers, joins
+from glyphray.session import with_fields
 from glyphray.sources import files
 
 
@@ -143,8 +144,8 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag AS label, CA
        CAST(-l_suppkey AS INTEGER) AS y1, l_linenumber AS x2, CAST(l_quantity AS INTEGER) AS y2
 FROM lineitem WHERE l_orderkey % 9 > 4""")
 def roi_parse(spark, sf):
-    parsed = table(spark, sf, "lineitem").select(*_LINE, roi.parse_roi(_roi_text()).alias("r"))
-    return parsed.filter("r.reason is null").select(*_LINE, "r.label", "r.x1", "r.y1", "r.x2", "r.y2")
+    texts = table(spark, sf, "lineitem").select(*_LINE, _roi_text().alias("raw"))
+    return with_fields(texts, roi.parse_roi(F.col("raw"))).filter("reason is null").drop("raw", "reason")
 
 
 @query("roi_rejects", f"""
@@ -152,8 +153,8 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_ROI_TEXT} AS raw,
        CASE WHEN l_orderkey % 9 IN (0, 4) THEN 'wrong number of coordinates' ELSE 'not a label with integer coordinates' END AS reason
 FROM lineitem WHERE l_orderkey % 9 <= 4""")
 def roi_rejects(spark, sf):
-    parsed = table(spark, sf, "lineitem").select(*_LINE, _roi_text().alias("raw")).withColumn("r", roi.parse_roi(F.col("raw")))
-    return parsed.filter("r.reason is not null").select(*_LINE, "raw", "r.reason")
+    texts = table(spark, sf, "lineitem").select(*_LINE, _roi_text().alias("raw"))
+    return with_fields(texts, roi.parse_roi(F.col("raw"))).filter("reason is not null").select(*_LINE, "raw", "reason")
 
 
 @query("roi_normalize", """
@@ -255,7 +256,7 @@ def parse_lineage(spark, sf):
     name = names.slice_name(uid, key % 12 + 1)
     named = F.when(key % 3 == 0, name).otherwise(names.crop_name(name, F.concat(F.lit("waarde"), s(key % 5))))
     full = F.when(key % 2 == 0, names.report_name(named)).otherwise(named)
-    return table(spark, sf, "orders").select(key, names.lineage(full).alias("l")).select(key, "l.*")
+    return with_fields(table(spark, sf, "orders").select(key, full.alias("name")), names.lineage(F.col("name"))).drop("name")
 
 
 @query("complete_config", """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import query, table
 from glyphray.functions import names
 from glyphray.operators import chain, checks, headers, history, joins, reports, runs
+from glyphray.session import with_fields
 from glyphray.sources import nodes
 
 
@@ -106,13 +107,16 @@ def join_lineage(spark, sf):
     )
     image = names.slice_name(uid, F.col("l_linenumber"))
     label = F.concat(F.lit("roi"), F.col("l_suppkey") % 4)
-    slices = line.select(names.lineage(image).alias("l")).select("l.uid", "l.slice_no").distinct()
-    crops = line.select(names.lineage(names.crop_name(image, label)).alias("l")).groupBy("l.uid", "l.slice_no", "l.label").agg(
+    named = lambda df, name: with_fields(
+        with_fields(df, F.struct(name.alias("name"))).select("name"), names.lineage(F.col("name"))
+    )
+    slices = named(line, image).select("uid", "slice_no").distinct()
+    crops = named(line, names.crop_name(image, label)).groupBy("uid", "slice_no", "label").agg(
         F.count(F.lit(1)).alias("pieces")
     )
-    texts = line.filter("l_linenumber % 2 = 0").select(
-        names.lineage(names.report_name(names.crop_name(image, label))).alias("l")
-    ).select("l.*").distinct().withColumn("text", F.concat(F.lit("text "), F.col("label")))
+    texts = named(line.filter("l_linenumber % 2 = 0"), names.report_name(names.crop_name(image, label))).select(
+        "uid", "slice_no", "label"
+    ).distinct().withColumn("text", F.concat(F.lit("text "), F.col("label")))
     return joins.join_lineage(heads, slices, crops, texts)
 
 

@@ -31,6 +31,18 @@ def stream_queue_depth(spark, sf):
     return ntz(drain(spark, queues.queue_depth(moved, "1 hour", "1 hour"), "complete"), "slot_start")
 
 
+@query("stream_arrivals", "SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0")
+def stream_arrivals(spark, sf):
+    """A folder filling with files of two endings; only those ending in ``.dcm`` trigger."""
+    folder = work_folder(spark, "arrivals")
+    key = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("value"))
+    write = lambda df: df.write.mode("append").option("maxRecordsPerFile", 1)
+    write(key.filter("value % 2 = 0")).option("extension", "dcm").csv(folder)
+    write(key.filter("value % 2 = 1")).text(folder)
+    found = drain(spark, arrivals.arrivals(arrivals.new_files(spark, folder)).select("content"))
+    return found.select(F.trim(F.regexp_replace(F.decode("content", "utf-8"), "\\s", "")).cast("bigint").alias("s_suppkey"))
+
+
 @query("stream_hand_over", """
 SELECT CAST(event_id AS VARCHAR) AS file, 'Queue' AS folder, 'arrived' AS event, ts FROM events""")
 def stream_hand_over(spark, sf):

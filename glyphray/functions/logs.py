@@ -28,11 +28,16 @@ def _to_utc(stamp: Column, zone: Column) -> Column:
     return stamp - F.make_dt_interval(hours=hours)
 
 
-def parse_line(line: Column) -> Column:
-    """``struct<fmt, ts, level, message>``; a continuation has fmt ``cont`` and no timestamp."""
+def layout(line: Column) -> Column:
+    """Name of the layout, ``cont`` for a continuation."""
     fmt = F.lit("cont")
     for name in reversed(LAYOUTS):
         fmt = F.when(line.rlike(LAYOUTS[name]), name).otherwise(fmt)
+    return fmt
+
+
+def entry(line: Column, fmt: Column) -> Column:
+    """``struct<ts, level, message>`` of a line whose layout is known; ``ts`` is UTC."""
     get = lambda name, i: F.regexp_extract(line, LAYOUTS[name], i)
     one_blank = lambda c: F.regexp_replace(c, " +", " ")
     local = _stamp(F.concat_ws(" ", one_blank(get("local", 1)), get("local", 3)), "MMM d hh:mm:ss a yyyy")
@@ -47,9 +52,5 @@ def parse_line(line: Column) -> Column:
     message = line
     for name, group in (("bracket", 2), ("local", 4), ("zoned", 4), ("micros", 2), ("level", 3)):
         message = F.when(fmt == name, get(name, group)).otherwise(message)
-    return F.struct(
-        fmt.alias("fmt"),
-        ts.alias("ts"),
-        F.when(fmt == "level", get("level", 2)).alias("level"),
-        message.alias("message"),
-    )
+    level = F.when(fmt == "level", get("level", 2))
+    return F.struct(ts.alias("ts"), level.alias("level"), message.alias("message"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from glyphray.functions.text import strip, to_int
+from glyphray.session import bind
 
 WRONG_COUNT = "wrong number of coordinates"
 NOT_PARSED = "not a label with integer coordinates"
@@ -13,24 +14,27 @@ NOT_PARSED = "not a label with integer coordinates"
 
 def parse_roi(raw: Column) -> Column:
     """``label:left,top,right,bottom`` to a struct; ``reason`` is null exactly for good values."""
-    parts = F.split(raw, ":", -1)
-    coords = F.transform(F.split(strip(F.get(parts, 1)), ",", -1), to_int)
-    bad = (
-        raw.isNull()
-        | (F.size(parts) != 2)
-        | F.coalesce(F.exists(coords, lambda c: c.isNull()), F.lit(True))
-    )
-    reason = F.when(bad, NOT_PARSED).when(F.size(coords) != 4, WRONG_COUNT)
-    good = reason.isNull()
-    pick = lambda i: F.when(good, F.get(coords, i))
-    return F.struct(
-        F.when(good, strip(F.get(parts, 0))).alias("label"),
-        pick(0).alias("x1"),
-        pick(1).alias("y1"),
-        pick(2).alias("x2"),
-        pick(3).alias("y2"),
-        reason.alias("reason"),
-    )
+
+    def numbers(parts: Column) -> Column:
+        return F.struct(
+            parts.alias("parts"), F.transform(F.split(strip(F.get(parts, 1)), ",", -1), to_int).alias("coords")
+        )
+
+    def checked(read: Column) -> Column:
+        parts, coords = read["parts"], read["coords"]
+        failed = F.coalesce((F.size(parts) != 2) | F.exists(coords, lambda c: c.isNull()), F.lit(True))
+        reason = F.when(failed, NOT_PARSED).when(F.size(coords) != 4, WRONG_COUNT)
+        return F.struct(parts.alias("parts"), coords.alias("coords"), reason.alias("reason"))
+
+    def record(read: Column) -> Column:
+        good = read["reason"].isNull()
+        corners = [
+            F.when(good, F.get(read["coords"], i)).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))
+        ]
+        label = F.when(good, strip(F.get(read["parts"], 0))).alias("label")
+        return F.struct(label, *corners, read["reason"].alias("reason"))
+
+    return bind(bind(bind(F.split(raw, ":", -1), numbers), checked), record)
 
 
 def valid_roi(label: Column, coords: list[Column]) -> Column:

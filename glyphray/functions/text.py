@@ -36,5 +36,5 @@ def to_int(col: Column) -> Column:
     body = strip(col)
     return F.when(
         body.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"),
-        F.regexp_replace(body, "_", "").try_cast("int"),
+        F.replace(body, F.lit("_"), F.lit("")).try_cast("int"),
     )

@@ -31,7 +31,10 @@ def image(height, width, channels, data) -> Column:
     )
 
 
-# --- kernels: (height, width, channels) uint8 array -> array of the same kind ------------------
+# --- kernels: (..., height, width, channels) uint8 -> array of the same kind ---------------------
+
+Y, X, C = -3, -2, -1
+STACK_BYTES = 1 << 22  # images of one shape are worked on together up to this size
 
 
 def _axis_sum(a: np.ndarray, weights: list[int], axis: int, mode: str) -> np.ndarray:
@@ -47,18 +50,15 @@ def _axis_sum(a: np.ndarray, weights: list[int], axis: int, mode: str) -> np.nda
 
 
 def _gray(a):
-    b, g, r = (a[:, :, i].astype(np.int64) for i in range(3))
-    return ((299 * r + 587 * g + 114 * b + 500) // 1000)[:, :, None]
-
-
-def _threshold(a, level):
-    return np.where(a > level, 255, 0)
+    b, g, r = (a[..., i].astype(np.int64) for i in range(3))
+    return ((299 * r + 587 * g + 114 * b + 500) // 1000)[..., None]
 
 
 def _adaptive(a, block, c):
     k = block | 1
-    s = a.astype(np.int64)
-    for axis in (0, 1):
+    a = a.astype(np.int64)
+    s = a
+    for axis in (Y, X):
         s = _axis_sum(s, [1] * k, axis, "edge")
     mean = (2 * s + k * k) // (2 * k * k)
     return np.where(a > mean - c, 255, 0)
@@ -66,7 +66,7 @@ def _adaptive(a, block, c):
 
 def _gaussian(a, v):
     s = a.astype(np.int64)
-    for axis in (0, 1):
+    for axis in (Y, X):
         s = _axis_sum(s, gaussian_weights(v), axis, "reflect" if s.shape[axis] > 1 else "edge")
     return (s + (1 << 31)) >> 32
 
@@ -74,12 +74,14 @@ def _gaussian(a, v):
 def _median(a, k):
     k = odd_kernel(k)
     r = k // 2
-    wide = np.pad(a, ((r, r), (r, r), (0, 0)), mode="edge")
+    pad = [(0, 0)] * a.ndim
+    pad[Y] = pad[X] = (r, r)
+    wide = np.pad(a, pad, mode="edge")
     out = np.empty_like(a)
-    for y in range(a.shape[0]):  # one line at a time bounds memory at width * k * k
-        near = np.lib.stride_tricks.sliding_window_view(wide[y : y + k], k, axis=1)
-        flat = near.transpose(1, 2, 0, 3).reshape(a.shape[1], a.shape[2], k * k)
-        out[y] = np.partition(flat, k * k // 2, axis=-1)[..., k * k // 2]
+    for y in range(a.shape[Y]):  # one line at a time bounds memory
+        near = np.lib.stride_tricks.sliding_window_view(wide[..., y : y + k, :, :], (k, k), axis=(Y, X))[..., 0, :, :, :, :]
+        flat = near.reshape(*near.shape[:-2], k * k)
+        out[..., y, :, :] = np.partition(flat, k * k // 2, axis=-1)[..., k * k // 2]
     return out
 
 
@@ -101,7 +103,7 @@ def _cubic_axis(a, factor, axis):
 
 
 def _cubic(a, factor):
-    s = _cubic_axis(_cubic_axis(a.astype(np.int64), factor, 1), factor, 0)
+    s = _cubic_axis(_cubic_axis(a.astype(np.int64), factor, X), factor, Y)
     return np.clip((s + (1 << 15)) >> 16, 0, 255)
 
 
@@ -114,21 +116,33 @@ def once(udf):
     return udf.asNondeterministic()
 
 
+def _stacks(images: pa.Array, channels: int | None):
+    """Positions and pixels of equally shaped images, a bounded number at a time."""
+    sizes = [images.field(f).to_pylist() for f in ("height", "width", "channels")]
+    valid = images.is_valid().to_pylist()
+    same: dict[tuple, list[int]] = {}
+    for i, shape in enumerate(zip(*sizes)):
+        if valid[i] and (channels is None or shape[2] == channels):
+            same.setdefault(shape, []).append(i)
+    data = images.field("data")
+    for shape, at in same.items():
+        step = max(1, STACK_BYTES // max(1, int(np.prod(shape))))
+        for k in range(0, len(at), step):
+            part = at[k : k + step]
+            joined = b"".join(data[i].as_buffer() for i in part)
+            yield part, np.frombuffer(joined, np.uint8).reshape(len(part), *shape)
+
+
 def _lift(kernel, channels: int | None = None):
     """Arrow scalar function around a kernel; null stays null, a wrong channel count gives null."""
 
     def run(images: pa.Array) -> pa.Array:
-        out = []
-        for im in images:
-            if not im.is_valid or (channels and im["channels"].as_py() != channels):
-                out.append(None)
-                continue
-            h, w, c = (im[f].as_py() for f in ("height", "width", "channels"))
-            a = kernel(np.frombuffer(im["data"].as_buffer(), np.uint8, h * w * c).reshape(h, w, c))
-            a = np.ascontiguousarray(a, dtype=np.uint8)
-            out.append(
-                {"height": a.shape[0], "width": a.shape[1], "channels": a.shape[2], "data": a.tobytes()}
-            )
+        out = [None] * len(images)
+        for at, stack in _stacks(images, channels):
+            done = np.ascontiguousarray(kernel(stack), dtype=np.uint8)
+            height, width, depth = done.shape[1:]
+            for i, a in zip(at, done):
+                out[i] = {"height": height, "width": width, "channels": depth, "data": a.tobytes()}
         return pa.array(out, _ARROW)
 
     run.__annotations__ = {"images": pa.Array, "return": pa.Array}
@@ -140,25 +154,30 @@ def to_gray(img: Column) -> Column:
 
 
 def to_rgb(img: Column) -> Column:
-    return _lift(lambda a: np.repeat(a, 3, axis=2), 1)(img)
+    return _lift(lambda a: np.repeat(a, 3, axis=C), 1)(img)
 
 
 def interleave(img: Column) -> Column:
     """Channel-after-channel bytes to one pixel after another."""
-    return _lift(lambda a: a.reshape(a.shape[2], a.shape[0], a.shape[1]).transpose(1, 2, 0), 3)(img)
+
+    def kernel(a):
+        n, height, width, depth = a.shape
+        return a.reshape(n, depth, height, width).transpose(0, 2, 3, 1)
+
+    return _lift(kernel, 3)(img)
 
 
 def flip_channels(img: Column) -> Column:
     """Blue-first to red-first or back."""
-    return _lift(lambda a: a[:, :, ::-1], 3)(img)
+    return _lift(lambda a: a[..., ::-1], 3)(img)
 
 
 def threshold(img: Column, level: int = 127) -> Column:
-    return _lift(lambda a: _threshold(a, level))(img)
+    return _lift(lambda a: np.where(a > level, 255, 0))(img)
 
 
 def adaptive_threshold(img: Column, block: int = 3, c: int = 2) -> Column:
-    return _lift(lambda a: _adaptive(a.astype(np.int64), block, c))(img)
+    return _lift(lambda a: _adaptive(a, block, c))(img)
 
 
 def gaussian_blur(img: Column, v: int = 1) -> Column:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Largest row count a configuration-like table may have before we stop hinting a broadcast.
@@ -56,3 +57,26 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataF
     if is_small(df, rows):
         return F.broadcast(df), True
     return df, False
+
+
+def with_fields(df: DataFrame, record: Column) -> DataFrame:
+    """Append the fields of a struct expression, worked out once per row.
+
+    Selecting fields of a computed struct lets the optimizer repeat the whole computation for every
+    field; a one-element generator in between keeps it in one place.
+    """
+    return df.select("*", F.inline_outer(F.array(record)))
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a costly step when the input comes in fewer partitions than there are cores.
+
+    Large inputs come in more partitions and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

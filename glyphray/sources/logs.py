@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphray.functions.logs import parse_line
+from glyphray.functions.logs import entry, layout
 from glyphray.operators.runs import block, last_known
+from glyphray.session import with_fields
 
 LINES_PER_BLOCK = 100_000
 
 
 def parse_logs(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Adds ``fmt, ts, level, message`` to lines of text; a narrow projection."""
-    return lines.withColumn("__log", parse_line(F.col(value))).select("*", "__log.*").drop("__log", value)
+    """Adds ``fmt, ts, level, message`` to lines of text, without a shuffle."""
+    laid_out = with_fields(lines, F.struct(layout(F.col(value)).alias("fmt")))
+    return with_fields(laid_out, entry(F.col(value), F.col("fmt"))).drop(value)
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -7,11 +7,10 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from glyphray.functions.logs import parse_line
 from glyphray.operators import chain, checks, packed
 from glyphray.plans.headers import dump_headers, header_documents, header_failures
 from glyphray.plans.images import crop_images, read_text, report
-from glyphray.sources import dicom, files, ini, nodes, sinks
+from glyphray.sources import dicom, files, ini, logs, nodes, sinks
 
 PREAMBLE = b"\0" * 128 + b"DICM"
 
@@ -228,8 +227,8 @@ def test_ini_files(spark, tmp_path):
     ("[2025-13-16 07:44:34] bad month", ("bracket", None, None, "bad month")),
 ])
 def test_log_layouts(spark, line, want):
-    r = spark.range(1).select(parse_line(F.lit(line)).alias("r")).select("r.fmt", F.col("r.ts").cast("string"), "r.level", "r.message").first()
-    assert tuple(r) == want
+    parsed = logs.parse_logs(spark.createDataFrame([(line,)], "value string"))
+    assert tuple(parsed.select("fmt", F.col("ts").cast("string"), "level", "message").first()) == want
 
 
 def test_node_lines_add_up(spark):
