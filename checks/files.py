@@ -232,7 +232,7 @@ def read_images(spark, sf):
         ).select(bitmap(F.col("v"), F.col("vec_id")).alias("content")),
         folder,
     )
-    read = files.read_images(spark, folder, ["*"])
+    read = files.read_images(spark, folder, "*")
     cells = packed.unpack(read.filter("image is not null").select("path", "image"))
     channel = lambda i: F.max(F.when(F.col("c") == i, F.col("v")))
     good = (

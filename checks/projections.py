@@ -46,6 +46,22 @@ def tag_label(spark, sf):
     )
 
 
+@query("label_tags", """
+WITH t AS (SELECT p_partkey, p_size * 65536 + CAST(p_partkey % 300 AS INTEGER) AS tag_no FROM part),
+d AS (SELECT n_nationkey % 6 * 65536 + n_nationkey * 11 AS tag_no, n_name AS name FROM nation)
+SELECT p_partkey, t.tag_no, format('({:04X},{:04X}) {}', tag_no // 65536, tag_no % 65536,
+  CASE WHEN tag_no // 65536 % 2 = 0 THEN coalesce(name, '') WHEN name IS NOT NULL THEN '[' || name || ']'
+       WHEN tag_no % 65536 BETWEEN 16 AND 255 THEN 'Private Creator' ELSE 'Private tag data' END) AS label
+FROM t LEFT JOIN d USING (tag_no)""")
+def label_tags(spark, sf):
+    tags = table(spark, sf, "part").select(
+        "p_partkey", (F.col("p_size") * 65536 + (F.col("p_partkey") % 300).cast("int")).alias("tag_no")
+    )
+    key = F.col("n_nationkey")
+    dictionary = table(spark, sf, "nation").select((key % 6 * 65536 + key * 11).alias("tag_no"), F.col("n_name").alias("name"))
+    return headers.label_tags(tags, dictionary)
+
+
 @query("header_map", """
 WITH tags AS (
   SELECT l_orderkey, CASE l_linenumber % 4 WHEN 0 THEN '(0010,0010) Patient''s Name' WHEN 1 THEN '(0010,0020) Patient ID'

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from glyphray.functions.text import base_name, stem
+from glyphray.session import bind
 
 LINEAGE = r"^(.+?)_slice_(\d+)(?:_(?!ocr_results(?:\.|$))(.+?))?(?:_ocr_results)?(?:\.[^._]+)?$"
 
@@ -33,10 +34,17 @@ def report_name(image: Column) -> Column:
 
 def lineage(name: Column) -> Column:
     """Instance, slice number and optional region label read back from a file name."""
-    part = lambda i: F.nullif(F.regexp_extract(name, LINEAGE, i), F.lit(""))
-    return F.struct(
-        part(1).alias("uid"), part(2).try_cast("int").alias("slice_no"), part(3).alias("label")
-    )
+
+    def record(parts: Column) -> Column:
+        known = F.size(parts) == 3
+        return F.struct(
+            F.when(known, F.get(parts, F.lit(0))).alias("uid"),
+            F.get(parts, F.lit(1)).try_cast("int").alias("slice_no"),
+            F.nullif(F.get(parts, F.lit(2)), F.lit("")).alias("label"),
+        )
+
+    # one match per name; a name that does not fit stays in one piece
+    return bind(F.split(F.regexp_replace(name, LINEAGE, "$1\u0001$2\u0001$3"), "\u0001", -1), record)
 
 
 def instance_uid(key: Column) -> Column:

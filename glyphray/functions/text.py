@@ -34,7 +34,6 @@ def stem(name: Column) -> Column:
 def to_int(col: Column) -> Column:
     """Integer text with optional sign, padding and digit separators; anything else is null."""
     body = strip(col)
-    return F.when(
-        body.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"),
-        F.replace(body, F.lit("_"), F.lit("")).try_cast("int"),
+    return F.when(col.rlike(r"^[+-]?[0-9]+$"), col.try_cast("int")).when(
+        body.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"), F.replace(body, F.lit("_"), F.lit("")).try_cast("int")
     )
