@@ -160,8 +160,8 @@ def any_match(spark, sf):
 
 # event type -> what a run log would say
 _MESSAGES = {
-    "signup": "Script gestart.", "view": "Start dicomdumper...", "click": "dicomdumper gestopt.",
-    "purchase": "Start dcm2jpg...", "error": "dcm2jpg gestopt.",
+    "signup": "Script gestart.", "view": "Start headers...", "click": "headers gestopt.",
+    "purchase": "Start slices...", "error": "slices gestopt.",
 }
 _OUTCOMES = {
     "signup": "✅ DICOM header succesvol als JSON opgeslagen: /out/a.json", "view": "Slice 1 opgeslagen als /out/a.jpg",
@@ -221,7 +221,7 @@ def roi_last_wins(spark, sf):
 @query("stage_durations", """
 WITH m AS (SELECT user_id AS source, event_id AS line_no, ts, event_type,
                   sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run_id,
-                  CASE WHEN event_type IN ('view', 'click') THEN 'dicomdumper' WHEN event_type IN ('purchase', 'error') THEN 'dcm2jpg' END AS stage,
+                  CASE WHEN event_type IN ('view', 'click') THEN 'headers' WHEN event_type IN ('purchase', 'error') THEN 'slices' END AS stage,
                   event_type IN ('click', 'error') AS is_stop FROM events),
 p AS (SELECT *, lead(CASE WHEN is_stop THEN ts END) OVER (PARTITION BY source, run_id, stage ORDER BY ts, line_no) AS ended FROM m WHERE stage IS NOT NULL)
 SELECT source, CAST(run_id AS BIGINT) AS run_id, stage, line_no, ts AS started, ended FROM p WHERE NOT is_stop""")

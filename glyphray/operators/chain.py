@@ -51,6 +51,7 @@ def _select(img: Column, box: Sequence[int]) -> Column:
     return F.when(img["channels"] == 1, packed.to_rgb(cut)).otherwise(cut)
 
 
+# Module names as configurations list them. One of them has no process and is skipped.
 REGISTRY: dict[str, Module] = {
     m.name: m
     for m in (

@@ -80,7 +80,8 @@ def up_intervals(actions: DataFrame, started: Column, stopped: Column, node: str
     seen = previous_value(marks, [node], [ts, tie], bucket, F.col("up"), ["up"], "was")
     # what remains alternates: a start that opens an island, the stop that closes it
     edges = seen.filter(F.col("up") != F.coalesce("was", F.lit(False))).drop("was")
-    closed = next_value(edges, [node], [ts, tie], bucket, F.col(ts), ["up"], "down_at")
+    stop = F.when(~F.col("up"), F.col(ts))
+    closed = next_value(edges, [node], [ts, tie], bucket, stop, ["up"], "down_at")
     return closed.filter("up").select(node, F.col(ts).alias("up_at"), "down_at")
 
 

@@ -272,21 +272,26 @@ bytes_to_ints = once(F.arrow_udf(_bytes_to_ints, T.ArrayType(T.IntegerType())))
 
 
 def unpack(df: DataFrame, img: str = "image") -> DataFrame:
-    """Packed gray or colour images to long rows ``(height, width, y, x, c, v)``."""
+    """Packed gray or colour images to long rows ``(height, width, y, x, c, v)``.
+
+    Images fall into lines first, so no array ever holds more than one line.
+    """
     i = F.col(img)
-    size = i["width"] * i["channels"]
     keep = [c for c in df.columns if c != img]
-    return (
-        df.select(*keep, i["height"].alias("height"), i["width"].alias("width"),
-                  i["channels"].alias("channels"), size.alias("__size"), bytes_to_ints(i["data"]).alias("__v"))
-        .select(*keep, "height", "width", "channels", "__size", F.posexplode_outer("__v").alias("__i", "v"))
-        .select(
-            *keep, "height", "width",
-            F.floor(F.col("__i") / F.col("__size")).cast("int").alias("y"),
-            F.floor((F.col("__i") % F.col("__size")) / F.col("channels")).cast("int").alias("x"),
-            (F.col("__i") % F.col("channels")).cast("int").alias("c"),
-            "v",
-        )
+    stride = i["width"] * i["channels"]
+    lines = df.select(
+        *keep, i["height"].alias("height"), i["width"].alias("width"), i["channels"].alias("channels"),
+        i["data"].alias("__data"), stride.alias("__stride"),
+        F.explode_outer(F.sequence(F.lit(0), i["height"] - 1)).alias("y"),
+    )
+    head = [*keep, "height", "width", "channels", "y"]
+    cells = lines.select(
+        *head, bytes_to_ints(_lines(F.col("__data"), F.col("y"), F.lit(1), F.col("__stride"))).alias("__v")
+    ).select(*head, F.posexplode_outer("__v").alias("__i", "v"))
+    channels = F.col("channels")
+    return cells.select(
+        *keep, "height", "width", "y",
+        F.floor(F.col("__i") / channels).cast("int").alias("x"), (F.col("__i") % channels).cast("int").alias("c"), "v",
     )
 
 

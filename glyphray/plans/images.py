@@ -18,13 +18,15 @@ def slice_files(scanned: DataFrame, out: str) -> None:
     sinks.write_slices(cut.filter("error is null"), out)
 
 
-def crop_images(images: DataFrame, rois: DataFrame) -> DataFrame:
-    """``image_name, image`` with every region cut out, named after image and label.
+def crop_images(images: DataFrame, rois: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``image_path, image`` with every region cut out, named after image and label.
 
-    Regions are cut in the JVM while image and region meet, so full images go no further.
+    Regions are cut in the JVM while image and region meet, so full images go no further. With
+    ``keys`` (a configuration name) each image meets only its own configuration.
     """
     box = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
-    pairs = crop.pair_with_rois(images, crop.usable_rois(rois).select("label", "x1", "y1", "x2", "y2"))
+    good = crop.usable_rois(rois).select(*keys, "label", "x1", "y1", "x2", "y2")
+    pairs = images.join(good, list(keys)) if keys else crop.pair_with_rois(images, good)
     return pairs.select(
         crop_name(F.col("image_name"), F.col("label")).alias("image_path"),
         packed.crop(F.col("image"), *box).alias("image"),

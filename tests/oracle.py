@@ -13,6 +13,7 @@ import sys
 import time
 
 import duckdb
+from pyspark.sql import SparkSession
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -76,9 +77,12 @@ def main() -> int:
 
     args = argparse.ArgumentParser()
     args.add_argument("--sf", default="/root/testdata/sf0.01")
+    args.add_argument("--plain", action="store_true", help="a session with Spark's own defaults")
     args.add_argument("names", nargs="*")
     opts = args.parse_args()
-    spark, con = local_session(), connect(opts.sf)
+    spark = SparkSession.builder.master("local[8]").getOrCreate() if opts.plain else local_session()
+    spark.sparkContext.setLogLevel("ERROR")
+    con = connect(opts.sf)
     queries, oracles = entry.queries(), entry.oracle_sql()
     failed = 0
     for name, fn in queries.items():
