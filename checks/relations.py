@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import query, table
 from glyphray.functions import names
-from glyphray.operators import chain, checks, headers, history, joins, reports, runs
+from glyphray.operators import chain, checks, headers, history, joins, runs
 from glyphray.session import with_fields
 from glyphray.sources import nodes
 

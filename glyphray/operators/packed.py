@@ -8,8 +8,11 @@ lines of array code run on Arrow batches. ``split_bands`` cuts giant images into
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,16 +120,20 @@ def once(udf):
 
 
 def _stacks(images: pa.Array, channels: int | None):
-    """Positions and pixels of equally shaped images, a bounded number at a time."""
+    """Positions and pixels of equally shaped images, a bounded number at a time.
+
+    Rows without image, or whose bytes do not fit their size, are left out.
+    """
     sizes = [images.field(f).to_pylist() for f in ("height", "width", "channels")]
-    valid = images.is_valid().to_pylist()
+    data = images.field("data")
+    valid, lengths = images.is_valid().to_pylist(), pc.binary_length(data).to_pylist()
     same: dict[tuple, list[int]] = {}
     for i, shape in enumerate(zip(*sizes)):
-        if valid[i] and (channels is None or shape[2] == channels):
+        fits = valid[i] and None not in shape and lengths[i] == math.prod(shape) > 0
+        if fits and (channels is None or shape[2] == channels):
             same.setdefault(shape, []).append(i)
-    data = images.field("data")
     for shape, at in same.items():
-        step = max(1, STACK_BYTES // max(1, int(np.prod(shape))))
+        step = max(1, STACK_BYTES // math.prod(shape))
         for k in range(0, len(at), step):
             part = at[k : k + step]
             joined = b"".join(data[i].as_buffer() for i in part)
@@ -134,7 +141,7 @@ def _stacks(images: pa.Array, channels: int | None):
 
 
 def _lift(kernel, channels: int | None = None):
-    """Arrow scalar function around a kernel; null stays null, a wrong channel count gives null."""
+    """Arrow scalar function around a kernel; null for null, wrong channel count or damaged images."""
 
     def run(images: pa.Array) -> pa.Array:
         out = [None] * len(images)

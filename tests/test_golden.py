@@ -194,3 +194,22 @@ def test_parameters_are_checked(spark):
         pixels.threshold(gray_table(spark, IMAGE), 256)
     with pytest.raises(ValueError):
         pixels.pad_border(gray_table(spark, IMAGE), "x", 1, 1, "wrap")
+
+
+def test_damaged_images_give_null(spark):
+    rows = [(0, (2, 2, 1, bytearray(b"abc"))), (1, (None, 2, 1, bytearray(b"ab"))), (2, (1, 2, 1, None)), (3, None), (4, (1, 2, 1, bytearray(b"ab")))]
+    df = spark.createDataFrame(rows, f"image_id int, image {packed.IMAGE}")
+    got = {r["image_id"]: r["image"] for r in df.withColumn("image", packed.threshold(F.col("image"), 97)).collect()}
+    assert [got[i] for i in range(4)] == [None] * 4
+    assert bytes(got[4]["data"]) == b"\x00\xff"
+
+
+def test_crops_meet_their_own_configuration(spark):
+    from glyphray.plans.images import crop_images
+
+    a = gray_packed(spark, IMAGE).select(F.lit("1.2_slice_1.jpg").alias("image_name"), "image")
+    images = a.withColumn("config", F.lit("A")).unionByName(a.withColumn("config", F.lit("B")))
+    rois = spark.createDataFrame([("A", "x", 0, 0, 2, 3), ("B", "y", 1, 1, 2, 2), ("B", "bad", 3, 3, 1, 4)],
+                                 "config string, label string, x1 int, y1 int, x2 int, y2 int")
+    got = {r["image_path"]: (r["image"]["height"], r["image"]["width"]) for r in crop_images(images, rois, ["config"]).collect()}
+    assert got == {"1.2_slice_1_x.jpg": (3, 2), "1.2_slice_1_y.jpg": (1, 1)}
