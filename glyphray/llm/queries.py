@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import query, table
-from glyphray.llm import chat, exact_dedup, mixing, sharding
+from glyphray.llm import chat, exact_dedup, fingerprint, mixing, sharding
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -127,3 +127,11 @@ def op7(spark, sf):
     return exact_dedup.membership(table(spark, sf, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
+
+
+# --- 10 fingerprints ---------------------------------------------------------------------------
+
+
+@query("op10_fingerprints")
+def op10(spark, sf):
+    return fingerprint.compare_with_edits(table(spark, sf, "documents"))
