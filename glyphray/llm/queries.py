@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from checks.registry import query, table
-from glyphray.llm import chat, exact_dedup, fingerprint, mixing, sharding
+from glyphray.llm import bpe, chat, exact_dedup, fingerprint, mixing, sharding
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -135,3 +136,14 @@ def op7(spark, sf):
 @query("op10_fingerprints")
 def op10(spark, sf):
     return fingerprint.compare_with_edits(table(spark, sf, "documents"))
+
+
+# --- 8 byte-level BPE --------------------------------------------------------------------------
+
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+@query("op8_byte_bpe")
+def op8(spark, sf):
+    docs = table(spark, sf, "documents")
+    return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
