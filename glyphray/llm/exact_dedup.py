@@ -40,7 +40,8 @@ class DigestIndex:
         Copies inside the batch are combined before the shuffle. The batch meets the index in a sort-merge anti-join
         on the index's own buckets; the survivors are written back in the same buckets.
         """
-        new = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
+        # written out, as the optimizer would otherwise join before it combines the copies
+        new = stored(batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id")), "digests-batch")
         fresh = new.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
         # the new rows are written aside first: a table can't be read and appended to in one step
         (

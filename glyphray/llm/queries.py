@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from checks.registry import query, table
-from glyphray.llm import bpe, chat, exact_dedup, fingerprint, mixing, sharding
+from glyphray.llm import bpe, chat, exact_dedup, fingerprint, langid, mixing, sharding
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -147,3 +147,20 @@ RANKS = "byte_bpe_50k.tiktoken"
 def op8(spark, sf):
     docs = table(spark, sf, "documents")
     return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+# --- 2 language identification -----------------------------------------------------------------
+
+
+def remainder(divisor):
+    """CRC-32 of the id as text, modulo ``divisor``; null for a null id."""
+    return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % divisor
+
+
+@query("op2_language_id")
+def op2(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = langid.train(docs.filter(remainder(4) != 2))
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans"
+    )
