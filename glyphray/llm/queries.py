@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from checks.registry import query, table
-from glyphray.llm import bpe, chat, exact_dedup, fingerprint, langid, mixing, sharding
+from glyphray.llm import bpe, chat, exact_dedup, fingerprint, langid, lm, mixing, sharding
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -164,3 +164,17 @@ def op2(spark, sf):
     return langid.predict(docs.select("doc_id", "text"), model).select(
         "doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans"
     )
+
+
+# --- 9 LM scoring ------------------------------------------------------------------------------
+
+PIECES = "piece_bpe_32k.model"
+
+
+@query("op9_lm_scoring")
+def op9(spark, sf):
+    scored = lm.score(table(spark, sf, "documents"), remainder(7) != 2, public_tokenizers.path(PIECES))
+    return scored.select(
+        "doc_id", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score",
+    )

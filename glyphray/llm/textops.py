@@ -16,8 +16,8 @@ SHINGLE = 5
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A"):ord("Z") + 1] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A"):ord("Z") + 1] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,14 +36,14 @@ def stream(seed: int, n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
-_BYTE = stream(1, 256)[_LOWER]
+BYTES = stream(1, 256)[LOWER]
 _COEFFICIENT = stream(2, SHINGLE * 2) | np.uint64(1)
 _BASE = 0x9E6C63D0876A9A47
 _UNBASE = pow(_BASE, -1, 1 << 64)
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if _powers is None or len(_powers[0]) < n:
         size = max(n, PIECE)
@@ -106,9 +106,9 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         base = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, base + PIECE, "right")))
         piece = data[base:int(ends[j - 1])]
-        power, inverse = _power(len(piece) + 1)
+        power, inverse = powers(len(piece) + 1)
         sums = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(_BYTE[piece] * power[:len(piece)], out=sums[1:])
+        np.cumsum(BYTES[piece] * power[:len(piece)], out=sums[1:])
         a, b = starts[i:j] - base, ends[i:j] - base
         out[i:j] = mix((sums[b] - sums[a]) * inverse[a])
         i = j
