@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from checks.registry import query, table
-from glyphray.llm import bpe, chat, exact_dedup, fingerprint, langid, lm, mixing, sharding
+from glyphray.llm import bpe, chat, exact_dedup, fingerprint, langid, lm, mixing, ngram_join, sharding
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -178,3 +178,11 @@ def op9(spark, sf):
         "doc_id", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"),
         "n_tokens", "n_known", "train_tokens", "base_score", "score",
     )
+
+
+# --- 5 n-gram Jaccard join ---------------------------------------------------------------------
+
+
+@query("op5_ngram_jaccard_join")
+def op5(spark, sf):
+    return ngram_join.component_ids(table(spark, sf, "documents"))
