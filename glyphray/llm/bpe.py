@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -298,8 +299,11 @@ def decode_column(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Encode and decode in one pass, and keep hashes: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
+def digests(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass, and keep hashes: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
+
+    With ``keep_ids`` the ids follow.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, pattern)
@@ -307,21 +311,24 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
-                counts, hashed, decoded = [], [], []
+                counts, hashed, decoded, kept = [], [], [], []
                 for text in part.column("text").to_pylist():
                     ids = encoder.encode(text or "")
                     counts.append(len(ids))
+                    if keep_ids:
+                        kept.append(pa.array(ids, pa.int32()))
                     hashed.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
                     back = hashlib.sha256()
                     for piece in decode(ids, tokens):
                         back.update(piece.encode())
                     decoded.append(back.hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hashed), pa.array(decoded)],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+                columns = [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hashed), pa.array(decoded)]
+                if keep_ids:
+                    at = pa.array([0, *itertools.accumulate(counts)], pa.int32())
+                    columns.append(pa.ListArray.from_arrays(at, pa.concat_arrays(kept)))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])]
+    kinds = [docs.schema["doc_id"].dataType.simpleString(), "long", "string", "string", "array<int>"]
+    schema = ", ".join(f"{name} {kind}" for name, kind in zip(names, kinds, strict=False))
+    return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -116,3 +116,18 @@ def mix(sized: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) ->
     return timed.crossJoin(F.broadcast(cut)).select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce(times, F.lit(0)).cast("long").alias("times")
     )
+
+
+def mixed_rows(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as ``mix`` takes it, columns as they were. Shuffles the rows once.
+
+    Rows are found again by id, source and size; rows that agree in all three are taken equally often.
+    """
+    key = F.struct("doc_id", "source", "size").alias("__key")
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    times = mix(sized, weights, most).filter("times > 0").select(key, F.col("times").alias("__times")).distinct()
+    own = F.struct("doc_id", "source", word_count(F.col("text")).alias("size")).alias("__key")
+    return (
+        docs.select("*", own).join(stored(times, "mix-taken"), "__key")
+        .select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))).alias("__copy")).drop("__copy")
+    )

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from glyphray.llm import textops
 from glyphray.llm.components import components
@@ -427,3 +428,33 @@ def component_ids(docs: DataFrame) -> DataFrame:
     )
     empty = members.filter("class is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.union(empty)
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component, the one with the smallest ``doc_id``; all columns as they were.
+
+    Of rows with that id the one whose class comes first stays, once. Where no row has an id, one row stays. Texts
+    without words are linked with nothing and all stay.
+    """
+    members, roots = similar_classes(docs)
+    rooted = members.filter("class is not null").join(roots.withColumnRenamed("node", "class"), "class", "left").select(
+        "doc_id", "class", F.coalesce("root", "class").alias("root")
+    )
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "class")
+    key = lambda name: F.struct(F.col(name).alias("class"), "doc_id").alias("__key")
+    keep = stored(
+        rooted.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.class").alias("class"), F.col("o.doc_id").alias("doc_id"))
+        .select(key("class")), "join-keep"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [_class(values) if len(values) else None for _, values in _sets(batch)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.int64())], [*batch.schema.names, "__class"])
+
+    classed = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__class", LongType())]))
+    full = classed.filter("__class is not null").select("*", key("__class"))
+    return (
+        full.join(keep, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+        .union(classed.filter("__class is null").select(*docs.columns))
+    )
