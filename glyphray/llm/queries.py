@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from checks.registry import query, table
-from glyphray.llm import bpe, chat, exact_dedup, fingerprint, langid, lm, mixing, ngram_join, sharding
+from glyphray.llm import bpe, chat, exact_dedup, fingerprint, langid, lm, mixing, ngram_join, sharding, warc
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -186,3 +186,26 @@ def op9(spark, sf):
 @query("op5_ngram_jaccard_join")
 def op5(spark, sf):
     return ngram_join.component_ids(table(spark, sf, "documents"))
+
+
+# --- 6 WARC ------------------------------------------------------------------------------------
+
+_WARC_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages),
+f AS (
+  SELECT payload_digest, max(page_id) AS first FROM p WHERE payload_bytes >= 1000
+  GROUP BY payload_digest HAVING count(*) > 1 AND max(page_id) IS NOT NULL)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+
+@query("op6_warc", _WARC_SQL)
+def op6(spark, sf):
+    return warc.archive_and_read(table(spark, sf, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
