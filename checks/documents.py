@@ -198,10 +198,11 @@ def report_json(spark, sf):
 
 @query("report_findings", f"""WITH {_ITEMS}
 SELECT o_orderkey AS study, min(text) FILTER (WHERE code = '74019-1') AS "74019-1", min(text) FILTER (WHERE code = '12100') AS "12100",
-       min(text) FILTER (WHERE code = '12103') AS "12103" FROM items GROUP BY 1""")
+       min(text) FILTER (WHERE code = '12101') AS "12101", min(text) FILTER (WHERE code = '12102') AS "12102",
+       min(text) FILTER (WHERE code = '12103') AS "12103", min(text) FILTER (WHERE code = '12104') AS "12104" FROM items GROUP BY 1""")
 def report_findings(spark, sf):
     items = reports.flat_items(_reports(spark, sf).select(F.col("o_orderkey").alias("study"), "report.content"))
-    return reports.findings(items, ["74019-1", "12100", "12103"])
+    return reports.findings(items, ["74019-1", "12100", "12101", "12102", "12103", "12104"])
 
 
 @query("first_concept", """
@@ -230,17 +231,21 @@ def nested_item_defaults(spark, sf):
 
 @query("nested_flatten", """
 WITH w AS (SELECT conv_id, turn, string_split(text, ' ') AS words FROM conversations),
-a AS (SELECT conv_id, turn, unnest(words[1:6]) AS word, generate_subscripts(words[1:6], 1) - 1 AS i FROM w)
-SELECT conv_id, turn, 0 AS depth, CAST(i AS VARCHAR) AS path, word AS value FROM a
-UNION ALL SELECT conv_id, turn, 1, i || '/' || j, word || j FROM a, range(2) t(j)
-UNION ALL SELECT conv_id, turn, 2, i || '/' || j || '/0', '^' || word FROM a, range(2) t(j) WHERE j = 1""")
+a AS (SELECT conv_id, turn, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM w)
+SELECT conv_id, turn, 0 AS depth, CAST(i AS VARCHAR) AS path, word AS value, CAST(NULL AS BIGINT) AS size FROM a
+UNION ALL SELECT conv_id, turn, 1, i || '/' || j, word || j, NULL FROM a, range(2) t(j)
+UNION ALL SELECT conv_id, turn, 2, i || '/' || j || '/0', '^' || word, NULL FROM a, range(2) t(j) WHERE j = 1
+UNION ALL SELECT conv_id, turn, 3, i || '/' || j || '/0/0', '_' || word, length(word) FROM a, range(2) t(j) WHERE j = 1""")
 def nested_flatten(spark, sf):
-    """Three levels of items, as in sequences within sequences."""
-    words = F.slice(F.split("text", " ", -1), 1, 6)
-    leaf = lambda w: F.struct(F.concat(F.lit("^"), w).alias("value"))
+    """Four levels of items, as in sequences within sequences; the deepest has a field of its own."""
+    words = F.split("text", " ", -1)
+    leaf = lambda w: F.struct(
+        F.concat(F.lit("^"), w).alias("value"),
+        F.array(F.struct(F.concat(F.lit("_"), w).alias("value"), F.length(w).cast("long").alias("size"))).alias("items"),
+    )
     child = lambda w, j: F.struct(
         F.concat(w, F.lit(str(j))).alias("value"),
-        (F.array(leaf(w)) if j else F.array().cast("array<struct<value:string>>")).alias("items"),
+        (F.array(leaf(w)) if j else F.array().cast("array<struct<value:string,items:array<struct<value:string,size:bigint>>>>")).alias("items"),
     )
     nested = F.transform(words, lambda w: F.struct(w.alias("value"), F.array(child(w, 0), child(w, 1)).alias("items")))
     rows = table(spark, sf, "conversations").select("conv_id", "turn", nested.alias("sequence"))

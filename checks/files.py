@@ -12,7 +12,7 @@ from glyphray.functions.text import base_name
 from glyphray.operators import packed, reports
 from glyphray.plans.headers import dump_headers, header_documents
 from glyphray.plans.images import slice_files
-from glyphray.session import bind, spread, work_folder
+from glyphray.session import bind, work_folder
 from glyphray.sources import dicom, files, ini, logs, nodes, sinks
 
 # --- bytes of files, built by Spark expressions --------------------------------------------------
@@ -95,7 +95,7 @@ def order_files(spark, sf: str) -> DataFrame:
     def whole(explicit: bool, syntax: str) -> Column:
         return dicom_file(body(explicit), syntax)
 
-    orders = spread(table(spark, sf, "orders"))
+    orders = table(spark, sf, "orders").repartition("o_orderkey")
     kinds = F.when(key % 50 == 11, whole(True, dicom.BIG)).when(key % 2 == 0, whole(True, EXPLICIT)).otherwise(whole(False, IMPLICIT))
     content = F.when(key % 50 == 7, F.substring("whole", 1, 260)).when(key % 50 == 9, F.lit(b"no header here")).otherwise(F.col("whole"))
     return orders.withColumn("whole", kinds).select(F.col("o_orderkey").alias("path"), content.alias("content"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from checks.registry import table
 from glyphray.operators import packed
-from glyphray.session import spread
 
 SIDE = 8
 
@@ -18,7 +17,7 @@ def gray_levels(embedding: Column) -> Column:
 
 
 def _images(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "embeddings")).select(
+    return table(spark, sf, "embeddings").repartition("vec_id").select(
         F.col("vec_id").alias("image_id"), "label",
         F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), gray_levels(F.col("embedding")).alias("v"),
     )

@@ -92,7 +92,10 @@ SELECT o_orderkey,
        CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS study_date,
        CASE WHEN o_orderkey % 30 >= 24 THEN NULL
             ELSE ((o_orderkey % 30) * 3600 + (o_orderkey % 60) * 60 + o_custkey % 60) * 1000000 + (o_orderkey % 1000) * 1000 END AS study_micros,
-       CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE o_orderdate + to_microseconds((o_orderkey % 1000) * 1000) END AS acquired,
+       CASE WHEN o_orderkey % 8 = 0 THEN o_orderdate WHEN o_orderkey % 8 = 1 THEN o_orderdate + INTERVAL 12 HOUR - INTERVAL 90 MINUTE
+            ELSE o_orderdate + to_microseconds((o_orderkey % 1000) * 1000) END AS acquired,
+       (o_orderkey % 7) || '.5|' || (o_orderkey % 3) AS spacing, 'O''' || o_orderstatus || '|x y' AS names,
+       CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE (o_orderkey % 100) / 4 END AS thickness,
        CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_custkey AS INTEGER) END AS series_number,
        CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE o_orderstatus || '|' || o_orderpriority END AS image_type,
        o_orderpriority AS modality
@@ -105,7 +108,11 @@ def typed_header(spark, sf):
     entries = {
         "(0008,0020) Study Date": F.when(key % 9 == 0, F.lit("19981399")).otherwise(day),
         "(0008,0030) Study Time": F.concat(two(key % 30), two(key % 60), two(F.col("o_custkey") % 60), F.lit("."), millis),
-        "(0008,002A) Acquisition DateTime": F.when(key % 8 == 0, day).otherwise(F.concat(day, F.lit("000000."), millis)),
+        "(0008,002A) Acquisition DateTime": F.when(key % 8 == 0, day).when(
+            key % 8 == 1, F.concat(day, F.lit("1200+0130"))).otherwise(F.concat(day, F.lit("000000."), millis)),
+        "(0028,0030) Pixel Spacing": F.concat(F.lit("["), (key % 7).cast("string"), F.lit(".5, "), (key % 3).cast("string"), F.lit("]")),
+        "(0008,1070) Operators' Name": F.concat(F.lit("[\"O'"), F.col("o_orderstatus"), F.lit("\", 'x y']")),
+        "(0018,0050) Slice Thickness": F.when(key % 6 == 0, F.lit("thin")).otherwise(((key % 100) / 4).cast("string")),
         "(0020,0011) Series Number": F.when(key % 5 == 0, F.lit("n/a")).otherwise(F.col("o_custkey").cast("string")),
         "(0008,0008) Image Type": F.when(key % 4 == 0, F.lit("")).otherwise(
             F.concat(F.lit("['"), F.col("o_orderstatus"), F.lit("', '"), F.col("o_orderpriority"), F.lit("']"))
@@ -122,8 +129,11 @@ def typed_header(spark, sf):
         "series_number": ("(0020,0011) Series Number", "int"),
         "image_type": ("(0008,0008) Image Type", "values"),
         "modality": ("(0008,0060) Modality", "text"),
+        "spacing": ("(0028,0030) Pixel Spacing", "values"),
+        "names": ("(0008,1070) Operators' Name", "values"),
+        "thickness": ("(0018,0050) Slice Thickness", "double"),
     })
-    return typed.withColumn("image_type", F.array_join("image_type", "|"))
+    return typed.withColumns({c: F.array_join(c, "|") for c in ("image_type", "spacing", "names")})
 
 
 # region texts built from lineitem, every few of them broken in another way

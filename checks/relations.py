@@ -124,8 +124,7 @@ def join_lineage(spark, sf):
 SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) THEN 'duplicate' ELSE 'new' END AS state FROM customer""")
 def duplicate_check(spark, sf):
     known = table(spark, sf, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
-    new, there = joins.split_new(table(spark, sf, "customer").select("c_custkey"), known, ["c_custkey"])
-    return new.withColumn("state", F.lit("new")).unionByName(there.withColumn("state", F.lit("duplicate")))
+    return joins.with_state(table(spark, sf, "customer").select("c_custkey"), known, ["c_custkey"])
 
 
 # --- aggregations ------------------------------------------------------------------------------
@@ -188,11 +187,12 @@ def run_counts(spark, sf):
 
 @query("action_counts", """
 SELECT user_id AS label, count(*) FILTER (WHERE event_type = 'view') AS gestart, count(*) FILTER (WHERE event_type = 'click') AS gestopt,
-       count(*) FILTER (WHERE event_type = 'signup') AS toegevoegd FROM events GROUP BY 1""")
+       count(*) FILTER (WHERE event_type = 'signup') AS toegevoegd, count(*) FILTER (WHERE event_type = 'purchase') AS verwijderd,
+       count(*) FILTER (WHERE event_type = 'error') AS mislukt FROM events GROUP BY 1""")
 def action_counts(spark, sf):
-    action = _say({"view": "gestart", "click": "gestopt", "signup": "toegevoegd"})
-    actions = table(spark, sf, "events").select(F.col("user_id").alias("label"), action.alias("action"))
-    return history.action_counts(actions, ["gestart", "gestopt", "toegevoegd"])
+    names = {"view": "gestart", "click": "gestopt", "signup": "toegevoegd", "purchase": "verwijderd", "error": "mislukt"}
+    actions = table(spark, sf, "events").select(F.col("user_id").alias("label"), _say(names).alias("action"))
+    return history.action_counts(actions, list(names.values()))
 
 
 # --- ordered analytics -------------------------------------------------------------------------
@@ -213,9 +213,7 @@ def roi_last_wins(spark, sf):
     rois = table(spark, sf, "lineitem").select(
         "l_suppkey", F.concat("l_returnflag", "l_linenumber").alias("label"), order.alias("ord"), x1.alias("x1")
     )
-    last = headers.latest_per_key(rois, ["l_suppkey", "label"], ["ord", "x1"]).withColumnRenamed("ord", "last_ord")
-    first = rois.groupBy("l_suppkey", "label").agg(F.min("ord").alias("first_ord"))
-    return last.join(first, ["l_suppkey", "label"])
+    return headers.last_wins(rois, ["l_suppkey", "label"], ["ord", "x1"])
 
 
 @query("stage_durations", """

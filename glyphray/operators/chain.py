@@ -36,19 +36,20 @@ class Module:
         return Module(self.name, self.process, self.check, self.enabled, {**self.params, **params})
 
 
-def _colour(img: Column) -> Column:
-    return F.when(img.isNull(), UNREADABLE).when(img["channels"] != 3, "three channels expected")
+def _readable(img: Column) -> Column:
+    """Null for an image whose bytes are all there."""
+    fits = F.octet_length(img["data"]) == img["height"].cast("long") * img["width"] * img["channels"]
+    return F.when(img.isNull(), UNREADABLE).when(~F.coalesce(fits, F.lit(False)), "damaged image")
 
 
-def _readable(img: Column) -> Column:
-    return F.when(img.isNull(), UNREADABLE)
+def _colour(img: Column) -> Column:
+    return F.coalesce(_readable(img), F.when(img["channels"] != 3, "three channels expected"))
 
 
 def _select(img: Column, box: Sequence[int]) -> Column:
-    """A chosen box as a colour image; an empty choice gives no image. Cut first, convert less."""
-    x, y, w, h = (F.lit(v) for v in box)
-    cut = packed.crop(img, x, y, x + w, y + h)
-    return F.when(img["channels"] == 1, packed.to_rgb(cut)).otherwise(cut)
+    """A chosen box as a colour image; an empty choice gives no image."""
+    x, y, w, h = box
+    return packed.select_box(img, x, y, x + w, y + h)
 
 
 # Module names as configurations list them. One of them has no process and is skipped.

@@ -53,17 +53,14 @@ def stage_durations(logs: DataFrame, source: str = "source", ts: str = "ts", tie
     """
     m = F.col(message)
     begins, ends = F.regexp_extract(m, STAGE_START, 1), F.regexp_extract(m, STAGE_STOP, 1)
-    mark = (
-        F.when(m == RUN_START, "run")
-        .when(begins != "", F.concat(F.lit("+"), begins))
-        .when(ends != "", F.concat(F.lit("-"), ends))
-    )
-    marks = logs.select(source, ts, tie, mark.alias("mark")).filter("mark is not null")
+    mark = F.when(m == RUN_START, "run").when(begins != "", "start").when(ends != "", "stop")
+    stage = F.when(begins != "", begins).otherwise(ends)
+    marks = logs.select(source, ts, tie, mark.alias("mark"), stage.alias("stage")).filter("mark is not null")
     is_run = (F.col("mark") == "run").cast("int")
     bucket = time_slot(ts, slot)
-    runs = running_sum(marks, [source], [ts, tie], bucket, is_run, ["mark"], "run_id")
+    runs = running_sum(marks, [source], [ts, tie], bucket, is_run, ["mark", "stage"], "run_id")
     stages = runs.filter("mark <> 'run'").select(
-        source, "run_id", F.substring("mark", 2, 255).alias("stage"), ts, tie, F.col("mark").startswith("-").alias("is_stop")
+        source, "run_id", "stage", ts, tie, (F.col("mark") == "stop").alias("is_stop")
     )
     paired = next_value(
         stages, [source, "run_id", "stage"], [ts, tie], bucket,

@@ -73,6 +73,13 @@ def resolve_modules(configs: DataFrame, available: DataFrame, enabled: str = "en
     return joined.withColumn("status", status).drop("is_enabled")
 
 
+def with_state(candidates: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Candidates with ``state``: ``new`` or ``duplicate``, in one join."""
+    seen = known.select(*keys).distinct().withColumn("__seen", F.lit(True))
+    state = F.when(F.col("__seen"), "duplicate").otherwise("new")
+    return candidates.join(seen, list(keys), "left").withColumn("state", state).drop("__seen")
+
+
 def split_new(candidates: DataFrame, known: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Candidates not known yet, and those already there."""
     seen = known.select(*keys)

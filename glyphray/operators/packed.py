@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphray.operators.pixels import gaussian_weights, odd_kernel
+from glyphray.session import bind
 
 IMAGE = "struct<height:int,width:int,channels:int,data:binary>"
 _ARROW = pa.struct(
@@ -146,7 +147,10 @@ def _lift(kernel, channels: int | None = None):
     def run(images: pa.Array) -> pa.Array:
         out = [None] * len(images)
         for at, stack in _stacks(images, channels):
-            done = np.ascontiguousarray(kernel(stack), dtype=np.uint8)
+            try:
+                done = np.ascontiguousarray(kernel(stack), dtype=np.uint8)
+            except (ValueError, IndexError, MemoryError):  # these images stay null, the others of the batch go on
+                continue
             height, width, depth = done.shape[1:]
             for i, a in zip(at, done):
                 out[i] = {"height": height, "width": width, "channels": depth, "data": a.tobytes()}
@@ -199,6 +203,18 @@ def upscale(img: Column, factor: float = 2) -> Column:
     return _lift(lambda a: _cubic(a, factor))(img)
 
 
+def select_box(img: Column, x1: int, y1: int, x2: int, y2: int) -> Column:
+    """A fixed box, clipped to the image, as a colour image; null when nothing is left."""
+
+    def kernel(a):
+        cut = a[..., max(y1, 0):max(y2, 0), max(x1, 0):max(x2, 0), :]
+        if 0 in cut.shape:
+            raise ValueError("empty box")
+        return np.repeat(cut, 3, axis=C) if cut.shape[C] == 1 else cut
+
+    return _lift(kernel)(img)
+
+
 def tuned_filter(img: Column, block: int = 3, c: int = 2, v: int = 1) -> Column:
     return adaptive_threshold(to_gray(gaussian_blur(img, v)), block, c)
 
@@ -213,14 +229,23 @@ def _lines(data: Column, first: Column, count: Column, stride: Column) -> Column
 def crop(img: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Box clipped to the image, cut line by line in the JVM; null when nothing is left.
 
-    Byte strings are joined as text, which Spark moves without looking inside.
+    The bytes are taken out of the row once and lines are cut from that. Byte strings are joined as text, which Spark
+    moves without looking inside.
     """
     left, top = F.greatest(x1, F.lit(0)), F.greatest(y1, F.lit(0))
     right, bottom = F.least(x2, img["width"]), F.least(y2, img["height"])
     ch = img["channels"]
-    start = lambda y: (y * img["width"] + left) * ch + 1
-    line = lambda y: F.substring(img["data"], start(y), (right - left) * ch).cast("string")
-    data = F.array_join(F.transform(F.sequence(top, bottom - 1), line), "").cast("binary")
+
+    def lines(whole: Column) -> Column:
+        part = lambda y: F.substring(
+            whole["data"], (y * whole["width"] + whole["left"]) * whole["ch"] + 1, whole["size"]).cast("string")
+        return F.array_join(F.transform(F.sequence(whole["top"], whole["bottom"] - 1), part), "").cast("binary")
+
+    cut = F.struct(
+        img["data"].alias("data"), img["width"].alias("width"), ch.alias("ch"), left.alias("left"), top.alias("top"),
+        bottom.alias("bottom"), ((right - left) * ch).alias("size"),
+    )
+    data = bind(cut, lines)
     return F.when((left < right) & (top < bottom), image(bottom - top, right - left, ch, data))
 
 
@@ -228,10 +253,16 @@ def slices(frames: DataFrame, volume: str = "volume", count: str = "frames") ->
     """One row per frame, numbered from 1, cut from frame-major bytes; a null count keeps one row."""
     v = F.col(volume)
     size = v["height"] * v["width"] * v["channels"]
-    return frames.withColumn("slice_no", F.explode_outer(F.sequence(F.lit(1), F.col(count)))).withColumn(
-        volume,
-        image(v["height"], v["width"], v["channels"],
-              F.substring(v["data"], (F.col("slice_no") - 1) * size + 1, size)),
+    whole = F.struct(v["data"].alias("data"), size.alias("size"), F.col(count).alias("count"))
+    cut = bind(whole, lambda w: F.transform(
+        F.sequence(F.lit(1), w["count"]),
+        lambda i: F.struct(i.alias("slice_no"), F.substring(w["data"], (i - 1) * w["size"] + 1, w["size"]).alias("__part")),
+    ))
+    rest = [F.col(c) for c in frames.columns if c not in (volume, "slice_no")]
+    shape = [v[f].alias(f"__{f}") for f in ("height", "width", "channels")]
+    framed = image(F.col("__height"), F.col("__width"), F.col("__channels"), F.col("__part")).alias(volume)
+    return frames.select(*rest, *shape, F.inline_outer(cut)).select(
+        *[framed if c == volume else F.col(c) for c in frames.columns if c != "slice_no"], "slice_no"
     )
 
 
@@ -243,22 +274,27 @@ def split_bands(df: DataFrame, rows: int, halo: int, img: str = "image") -> Data
     with ``repartition("image_id", "band")`` where single images are giant.
     """
     i = F.col(img)
-    y0 = F.col("band") * rows
-    top = F.least(y0, F.lit(halo))
-    kept = F.least(i["height"] - y0, F.lit(rows))
-    taken = F.least(i["height"], y0 + rows + halo) - (y0 - top)
-    stride = i["width"] * i["channels"]
-    return df.withColumn(
-        "band", F.explode_outer(F.sequence(F.lit(0), F.floor((i["height"] - 1) / rows).cast("int")))
-    ).withColumns(
-        {
-            "y0": y0,
-            "top": top,
-            "kept": kept,
-            img: image(taken, i["width"], i["channels"], _lines(i["data"], y0 - top, taken, stride)),
-        }
+    whole = F.struct(
+        i["data"].alias("data"), (i["width"] * i["channels"]).alias("stride"), i["height"].alias("height")
     )
 
+    def band(w: Column, b: Column) -> Column:
+        y0 = b * rows
+        top = F.least(y0, F.lit(halo))
+        taken = F.least(w["height"], y0 + rows + halo) - (y0 - top)
+        return F.struct(
+            b.alias("band"), y0.alias("y0"), top.alias("top"), F.least(w["height"] - y0, F.lit(rows)).alias("kept"),
+            taken.alias("__taken"), _lines(w["data"], y0 - top, taken, w["stride"]).alias("__part"),
+        )
+
+    cut = bind(whole, lambda w: F.transform(
+        F.sequence(F.lit(0), F.floor((w["height"] - 1) / rows).cast("int")), lambda b: band(w, b)
+    ))
+    rest = [c for c in df.columns if c != img]
+    bands = df.select(*rest, i["width"].alias("__width"), i["channels"].alias("__channels"), F.inline_outer(cut))
+    part = image(F.col("__taken"), F.col("__width"), F.col("__channels"), F.col("__part")).alias(img)
+    return bands.select(*[part if c == img else F.col(c) for c in df.columns], "band", "y0", "top", "kept")
+
 
 def trim_bands(df: DataFrame, img: str = "image") -> DataFrame:
     i = F.col(img)
@@ -286,15 +322,19 @@ def unpack(df: DataFrame, img: str = "image") -> DataFrame:
     i = F.col(img)
     keep = [c for c in df.columns if c != img]
     stride = i["width"] * i["channels"]
+    whole = F.struct(i["data"].alias("data"), stride.alias("stride"), i["height"].alias("height"))
+    cut = bind(whole, lambda w: F.transform(
+        F.sequence(F.lit(0), w["height"] - 1), lambda y: F.substring(w["data"], y * w["stride"] + 1, w["stride"])
+    ))
+    # lines leave the image before they meet the array function, which then never sees the image
     lines = df.select(
         *keep, i["height"].alias("height"), i["width"].alias("width"), i["channels"].alias("channels"),
-        i["data"].alias("__data"), stride.alias("__stride"),
-        F.explode_outer(F.sequence(F.lit(0), i["height"] - 1)).alias("y"),
+        F.posexplode_outer(cut).alias("y", "__line"),
     )
     head = [*keep, "height", "width", "channels", "y"]
-    cells = lines.select(
-        *head, bytes_to_ints(_lines(F.col("__data"), F.col("y"), F.lit(1), F.col("__stride"))).alias("__v")
-    ).select(*head, F.posexplode_outer("__v").alias("__i", "v"))
+    cells = lines.select(*head, bytes_to_ints(F.col("__line")).alias("__v")).select(
+        *head, F.posexplode_outer("__v").alias("__i", "v")
+    )
     channels = F.col("channels")
     return cells.select(
         *keep, "height", "width", "y",

@@ -26,7 +26,7 @@ def crop_images(images: DataFrame, rois: DataFrame, keys: Sequence[str] = ()) ->
     """
     box = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
     good = crop.usable_rois(rois).select(*keys, "label", "x1", "y1", "x2", "y2")
-    pairs = images.join(good, list(keys)) if keys else crop.pair_with_rois(images, good)
+    pairs = crop.pair_with_rois(images, good, keys)
     return pairs.select(
         crop_name(F.col("image_name"), F.col("label")).alias("image_path"),
         packed.crop(F.col("image"), *box).alias("image"),

@@ -1,17 +1,16 @@
-"""Session settings, the shared work folder, and the size check behind every broadcast hint."""
+"""Session settings, the shared work folder, and helpers for expressions."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest row count a configuration-like table may have before we stop hinting a broadcast.
-BROADCAST_ROWS = 20_000
-
 _work_root: str | None = None
 
 
@@ -30,33 +29,39 @@ def build_session(app: str = "glyphray", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a temporary folder stands in.
+    Only a session on one machine (``local[...]``) may lack that setting; it gets a temporary folder. Anywhere else
+    its absence is an error, since executors do not see each other's disks.
     """
     global _work_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if _work_root is None:
             _work_root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         root = _work_root
     return f"{root.rstrip('/')}/glyphray-{uuid.uuid4().hex}/{name}"
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` provably has at most ``rows`` rows (a limited count, never a collect)."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Hint a broadcast only after checking the size; the flag tells which way was taken."""
-    if is_small(df, rows):
-        return F.broadcast(df), True
-    return df, False
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, wherever they were started."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "glyphray.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(archive)
 
 
 def with_fields(df: DataFrame, record: Column) -> DataFrame:
@@ -71,12 +76,3 @@ def with_fields(df: DataFrame, record: Column) -> DataFrame:
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value worked out once, however often ``use`` mentions it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a costly step when the input comes in fewer partitions than there are cores.
-
-    Large inputs come in more partitions and are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

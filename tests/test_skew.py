@@ -60,18 +60,31 @@ def test_range_join_without_broadcast(spark):
         "label string, x1 int, y1 int, x2 int, y2 int",
     )
     small = crop.pixels_in_rois(_pixels(spark), rois.filter("label <> 'c'"), tile=4)
-    salted = crop.pixels_in_rois(_pixels(spark), rois.filter("label <> 'c'"), tile=4, rows=0)
+    salted = crop.pixels_in_rois(_pixels(spark), rois.filter("label <> 'c'").hint("merge"), tile=4)
     assert sorted(map(str, small.collect())) == sorted(map(str, salted.select(*small.columns).collect()))
     assert small.groupBy("label").count().orderBy("label").collect()[0]["count"] == 2 * 5 * 6
     whole = crop.pixels_in_rois(_pixels(spark), rois.filter("label = 'c'"))
     assert whole.count() == 200
 
 
+def test_long_images_keep_all_pixels(spark):
+    pixels = spark.createDataFrame([(1, 0, 100), (1, 0, 70_000), (1, 0, 250_000)], "image_id int, y int, x int")
+    roi = spark.createDataFrame([("a", 0, 0, 200_000, 1)], "label string, x1 int, y1 int, x2 int, y2 int")
+    assert sorted(r["x"] for r in crop.pixels_in_rois(pixels, roi).collect()) == [100, 70_000]
+
+
+def test_pairing_by_configuration(spark):
+    images = spark.createDataFrame([(i, "hot" if i % 10 else "cold") for i in range(50)], "image_id int, config string")
+    rois = spark.createDataFrame([("hot", 1), ("hot", 2), ("cold", 3)], "config string, ord int")
+    got = crop.pair_with_rois(images, rois.hint("merge"), ["config"])
+    assert got.count() == 45 * 2 + 5
+
+
 def test_pairing_without_broadcast(spark):
     images = spark.range(50).withColumnRenamed("id", "image_id")
     rois = spark.range(7).withColumnRenamed("id", "ord")
     a = crop.pair_with_rois(images, rois)
-    b = crop.pair_with_rois(images, rois, rows=0)
+    b = crop.pair_with_rois(images, rois.hint("merge"))
     assert a.count() == b.count() == 350
     assert a.exceptAll(b.select(*a.columns)).count() == 0
 

@@ -2,10 +2,10 @@
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from glyphray.streaming import arrivals, queues
+from glyphray.streaming import arrivals
 from glyphray.streaming.runner import drain
 from tests.test_files import dicom_file, element
 
@@ -40,35 +40,12 @@ def test_header_stream_keeps_latest_and_resumes(spark, tmp_path):
     assert docs == {"A_B_1.json": "2", "A_B_9.json": "3"}
 
 
-def test_outbox_retries_until_sent(spark, tmp_path):
-    queue, attempts = str(tmp_path / "queue"), str(tmp_path / "attempts")
-    spark.createDataFrame([("a",), ("flaky",), ("never",)], "file string").write.parquet(queue)
-    marker = tmp_path / "tried"
-
-    @F.udf(T.BooleanType())
-    def send(name):
-        if name == "never":
-            return False
-        if name == "flaky" and not marker.exists():
-            marker.write_text("x")
-            return False
-        return True
-
-    query = queues.start_outbox(
-        spark, lambda: spark.read.parquet(queue), attempts, send.asNondeterministic(), str(tmp_path / "c"), "1 second"
-    )
-    try:
-        deadline = time.time() + 60
-        while time.time() < deadline:
-            log = spark.read.schema("file string, ok boolean, ts timestamp, tick bigint").parquet(attempts)
-            seen = {r["file"]: (r["tries"], r["ok"]) for r in log.groupBy("file").agg(
-                F.count(F.lit(1)).alias("tries"), F.bool_or("ok").alias("ok")).collect()}
-            if seen.get("never", (0, 0))[0] >= 3 and seen.get("flaky", (0, False))[1]:
-                break
-            time.sleep(0.5)
-    finally:
-        query.stop()
-    assert seen["a"] == (1, True) and seen["flaky"] == (2, True) and seen["never"][1] is False
+def test_drain_without_input_and_in_other_modes(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    files = arrivals.new_files(spark, str(tmp_path / "none"))
+    assert drain(spark, files.groupBy("path").count(), "complete").collect() == []
+    with pytest.raises(ValueError):
+        drain(spark, files.groupBy("path").count(), "update")
 
 
 def test_hand_over_archives(spark, tmp_path):
