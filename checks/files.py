@@ -9,7 +9,7 @@ from checks.fixtures import CPX, as_bytes, gray_levels
 from checks.registry import query, table
 from checks.relations import _nodes, customer_lines
 from glyphray.functions.text import base_name
-from glyphray.operators import packed, reports
+from glyphray.operators import chain, packed, reports
 from glyphray.plans.headers import dump_headers, header_documents
 from glyphray.plans.images import slice_files
 from glyphray.session import bind, work_folder
@@ -138,10 +138,21 @@ def header_errors(spark, sf):
     return rows.select(F.col("file_id").alias("o_orderkey"), F.when(known, F.col("error")).otherwise("truncated").alias("error"))
 
 
-@query("scan_files")
+@query("scan_files", """
+SELECT page_id % 7 AS a, page_id % 3 AS b, octet_length(encode(html)) + 1 AS length, html AS text FROM pages""")
 def scan_files(spark, sf):
-    """Recursive scan of the folder that holds the tables; bytes are not read."""
-    return files.scan_files(spark, sf).select(base_name(F.col("path")).alias("name"), "length")
+    """One file per page in nested folders, scanned back with its bytes."""
+    folder = work_folder(spark, "scan")
+    pages = table(spark, sf, "pages").select(
+        (F.col("page_id") % 7).alias("a"), (F.col("page_id") % 3).alias("b"), F.col("html").alias("value")
+    )
+    pages.write.option("maxRecordsPerFile", 1).option("lineSep", "\0").partitionBy("a", "b").text(folder)
+    found = files.scan_files(spark, folder)
+    level = lambda name: F.regexp_extract("path", f"/{name}=(\\d+)/", 1).cast("bigint")
+    return found.select(
+        level("a").alias("a"), level("b").alias("b"), "length",
+        F.rtrim(F.decode("content", "UTF-8"), F.lit("\0")).alias("text"),
+    )
 
 
 @query("dump_headers", f"""WITH {_TAG_ROWS}, top AS (SELECT * FROM tags WHERE depth = 0)
@@ -189,6 +200,30 @@ def slice_files_query(spark, sf):
     return packed.unpack(spark.read.parquet(out)).select("image_name", "y", "x", "c", "v")
 
 
+@query("gray_slices_black_white", """
+WITH p AS (SELECT s_suppkey, i, (s_suppkey * 7 + i * 13) % 256 AS v FROM supplier, range(16) t(i))
+SELECT s_suppkey, CAST(i // 4 AS INTEGER) AS y, CAST(i % 4 AS INTEGER) AS x,
+       CASE WHEN floor(CASE WHEN s_suppkey % 2 = 0 THEN v ELSE v * 256 / 65535 * 255 END + 0.5) > 127 THEN 255 ELSE 0 END AS p,
+       'convert_black_white' AS used FROM p""")
+def gray_slices_black_white(spark, sf):
+    """Gray files of 8 and of 16 bits: parsed, developed to colour, and through a module that wants three channels."""
+    key = F.col("s_suppkey")
+    deep = key % 2 == 1
+    byte = lambda i: F.lpad(F.hex(F.pmod(key * 7 + i * 13, F.lit(256))), 2, "0")
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.when(
+        deep, F.concat(F.lit("00"), byte(i))).otherwise(byte(i))), ""))
+    us = lambda tag, n: element(tag, "US", le(n, 2))
+    bits = F.when(deep, 16).otherwise(8)
+    file = dicom_file(
+        [element(0x00080018, "UI", raw(F.concat(F.lit("9."), key))), us(0x00280002, F.lit(1)), us(0x00280010, F.lit(4)),
+         us(0x00280011, F.lit(4)), us(0x00280100, bits), element(0x7FE00010, "OW", data)], EXPLICIT)
+    cut = dicom.read_slices(table(spark, sf, "supplier").select(key.alias("path"), file.alias("content")))
+    modules, _ = chain.load_order(["convert_black_white"])
+    done = chain.apply_chain(cut.select(F.col("file_id").alias("s_suppkey"), "image"), modules)
+    wide = packed.unpack_gray(done.withColumn("used", F.array_join("used", ",")).drop("error"))
+    return wide.select("s_suppkey", "y", "x", "p", "used")
+
+
 @query("write_header_json", """
 WITH s AS (SELECT s_suppkey, s_suppkey % 10 AS k FROM supplier)
 SELECT 'Name_' || k || '_' || k || '.json' AS patient_key, 'Name^' || k AS patient_name, '2' AS frames, count(*) AS files, CAST(1 AS BIGINT) AS documents FROM s GROUP BY k""")
@@ -282,11 +317,14 @@ def log_lines(spark, sf: str) -> DataFrame:
     k = F.col("event_id")
     # local time in summer is two hours ahead of UTC
     local = F.col("ts") + F.make_dt_interval(hours=F.lit(2))
+    india = F.col("ts") + F.make_dt_interval(mins=F.lit(330))
     fmt = lambda ts, p: F.date_format(ts, p)
     line = (
         F.when(k % 7 == 6, F.concat(F.lit("  at "), F.col("event_type")))
         .when(k % 5 == 0, F.concat(F.lit("["), fmt("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("] "), F.col("event_type")))
         .when(k % 5 == 1, F.concat(F.lit("["), fmt(local, "EEE MMM dd hh:mm:ss a"), F.lit(" CEST "), fmt(local, "yyyy"), F.lit("] "), F.col("event_type")))
+        .when(k % 30 == 2, F.concat(fmt(india, "EEE MMM d HH:mm:ss"), F.lit(" IST "), fmt(india, "yyyy"), F.lit(" - "), F.col("event_type")))
+        .when(k % 30 == 7, F.concat(fmt("ts", "EEE MMM d HH:mm:ss"), F.lit(" XYZ "), fmt("ts", "yyyy"), F.lit(" - "), F.col("event_type")))
         .when(k % 5 == 2, F.concat(fmt("ts", "EEE MMM d HH:mm:ss"), F.lit(" UTC "), fmt("ts", "yyyy"), F.lit(" - "), F.col("event_type")))
         .when(k % 5 == 3, F.concat(fmt("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" - "), F.col("event_type")))
         .otherwise(F.concat(fmt("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" [INFO] "), F.col("event_type")))
@@ -297,9 +335,10 @@ def log_lines(spark, sf: str) -> DataFrame:
 _LOGS = """logs AS (
   SELECT user_id AS source, event_id AS line_no,
     CASE WHEN event_id % 7 = 6 THEN 'cont' ELSE ['bracket', 'local', 'zoned', 'micros', 'level'][event_id % 5 + 1] END AS fmt,
-    CASE WHEN event_id % 7 = 6 THEN NULL WHEN event_id % 5 = 3 THEN ts WHEN event_id % 5 = 4 THEN date_trunc('millisecond', ts) ELSE date_trunc('second', ts) END AS ts,
+    CASE WHEN event_id % 7 = 6 OR event_id % 30 = 7 THEN NULL WHEN event_id % 5 = 3 THEN ts WHEN event_id % 5 = 4 THEN date_trunc('millisecond', ts) ELSE date_trunc('second', ts) END AS ts,
     CASE WHEN event_id % 7 <> 6 AND event_id % 5 = 4 THEN 'INFO' END AS level,
-    CASE WHEN event_id % 7 = 6 THEN '  at ' || event_type ELSE event_type END AS message
+    CASE WHEN event_id % 7 = 6 THEN '  at ' || event_type ELSE event_type END AS message,
+    CASE WHEN event_id % 7 <> 6 AND event_id % 30 = 7 THEN 'unknown zone XYZ' END AS reason
   FROM events)"""
 
 
@@ -309,7 +348,7 @@ def read_logs(spark, sf):
 
 
 @query("log_continuations", f"""WITH {_LOGS}
-SELECT *, last_value(ts IGNORE NULLS) OVER (PARTITION BY source ORDER BY line_no) AS entry_ts FROM logs""")
+SELECT *, last_value(CASE WHEN fmt <> 'cont' THEN {{'t': ts}} END IGNORE NULLS) OVER (PARTITION BY source ORDER BY line_no).t AS entry_ts FROM logs""")
 def log_continuations(spark, sf):
     """Small blocks on purpose: values are carried across many block borders."""
     return logs.attach_continuations(logs.parse_logs(log_lines(spark, sf)), lines=16)

@@ -13,8 +13,14 @@ LAYOUTS = {
     "micros": r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d{6}) - (.*)$",
     "level": r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d{3}) \[([A-Z]+)\] (.*)$",
 }
-# Zone abbreviations seen in logs -> hours ahead of UTC.
-ZONE_HOURS = {"UTC": 0, "GMT": 0, "CET": 1, "CEST": 2}
+# Zone abbreviations of log writers -> minutes ahead of UTC.
+ZONE_MINUTES = {
+    "UTC": 0, "GMT": 0, "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "EET": 120, "EEST": 180, "MSK": 180,
+    "IST": 330, "PKT": 300, "WIB": 420, "HKT": 480, "SGT": 480, "AWST": 480, "JST": 540, "KST": 540, "ACST": 570,
+    "AEST": 600, "AEDT": 660, "NZST": 720, "NZDT": 780, "BRT": -180, "ART": -180, "NST": -210, "AST": -240, "ADT": -180,
+    "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420,
+    "AKST": -540, "AKDT": -480, "HST": -600,
+}
 
 
 def _stamp(text: Column, pattern: str) -> Column:
@@ -22,10 +28,11 @@ def _stamp(text: Column, pattern: str) -> Column:
 
 
 def _to_utc(stamp: Column, zone: Column) -> Column:
-    hours = F.lit(None).cast("int")
-    for name, ahead in ZONE_HOURS.items():
-        hours = F.when(zone == name, ahead).otherwise(hours)
-    return stamp - F.make_dt_interval(hours=hours)
+    return stamp - F.make_dt_interval(mins=_zones()[zone])
+
+
+def _zones() -> Column:
+    return F.create_map(*[F.lit(x) for pair in ZONE_MINUTES.items() for x in pair])
 
 
 def layout(line: Column) -> Column:
@@ -37,7 +44,10 @@ def layout(line: Column) -> Column:
 
 
 def entry(line: Column, fmt: Column) -> Column:
-    """``struct<ts, level, message>`` of a line whose layout is known; ``ts`` is UTC."""
+    """``struct<ts, level, message, reason>`` of a line whose layout is known; ``ts`` is UTC.
+
+    ``reason`` says why an entry has no time: an unknown zone or a date that does not exist.
+    """
     get = lambda name, i: F.regexp_extract(line, LAYOUTS[name], i)
     one_blank = lambda c: F.regexp_replace(c, " +", " ")
     local = _stamp(F.concat_ws(" ", one_blank(get("local", 1)), get("local", 3)), "MMM d hh:mm:ss a yyyy")
@@ -53,4 +63,8 @@ def entry(line: Column, fmt: Column) -> Column:
     for name, group in (("bracket", 2), ("local", 4), ("zoned", 4), ("micros", 2), ("level", 3)):
         message = F.when(fmt == name, get(name, group)).otherwise(message)
     level = F.when(fmt == "level", get("level", 2))
-    return F.struct(ts.alias("ts"), level.alias("level"), message.alias("message"))
+    zone = F.when(fmt == "local", get("local", 2)).when(fmt == "zoned", get("zoned", 2))
+    reason = F.when(zone.isNotNull() & _zones()[zone].isNull(), F.concat(F.lit("unknown zone "), zone)).when(
+        (fmt != "cont") & ts.isNull(), "no such time"
+    )
+    return F.struct(ts.alias("ts"), level.alias("level"), message.alias("message"), reason.alias("reason"))

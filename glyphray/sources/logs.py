@@ -13,7 +13,7 @@ LINES_PER_BLOCK = 100_000
 
 
 def parse_logs(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Adds ``fmt, ts, level, message`` to lines of text, without a shuffle."""
+    """Adds ``fmt, ts, level, message, reason`` to lines of text, without a shuffle."""
     laid_out = with_fields(lines, F.struct(layout(F.col(value)).alias("fmt")))
     return with_fields(laid_out, entry(F.col(value), F.col("fmt"))).drop(value)
 
@@ -33,7 +33,9 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def attach_continuations(logs: DataFrame, source: str = "source", lines: int = LINES_PER_BLOCK) -> DataFrame:
-    """Continuation lines get the timestamp of the entry above them (``entry_ts``)."""
+    """Continuation lines get the timestamp of the entry above them (``entry_ts``), null where that has none."""
     order = [c for c in ("block", "line_no") if c in logs.columns]
     bucket = F.struct(*order[:-1], block("line_no", lines).alias("part"))
-    return last_known(logs, [source], order, bucket, "ts", "entry_ts")
+    boxed = logs.withColumn("__entry", F.when(F.col("fmt") != "cont", F.struct("ts")))
+    known = last_known(boxed, [source], order, bucket, "__entry", "__above")
+    return known.withColumn("entry_ts", F.col("__above.ts")).drop("__entry", "__above")

@@ -117,19 +117,45 @@ def test_encapsulated_pixels_end_the_header(spark):
     assert dicom.read_slices(df).first()["error"] == "compressed pixel data"
 
 
-def slice_rows(spark, samples, planar, data, bits=8):
+def slice_rows(spark, samples, planar, data, bits=8, more=b""):
     us = lambda tag, n: element(tag, "US", struct.pack("<H", n))
     body = element(0x00080018, "UI", b"1.2") + us(0x00280002, samples) + us(0x00280006, planar)
-    body += us(0x00280010, 1) + us(0x00280011, 2) + us(0x00280100, bits) + element(0x7FE00010, "OB", data)
+    body += us(0x00280010, 1) + us(0x00280011, 2) + us(0x00280100, bits) + more + element(0x7FE00010, "OB", data)
     df = spark.createDataFrame([("f", bytearray(dicom_file(body)))], "path string, content binary")
     return dicom.read_slices(df).collect()
 
 
 def test_slices_gray_colour_planar(spark):
-    assert bytes(slice_rows(spark, 1, 0, b"\x05\x06")[0]["image"]["data"]) == b"\x05\x06"
+    assert bytes(slice_rows(spark, 1, 0, b"\x05\x06")[0]["image"]["data"]) == b"\x05\x05\x05\x06\x06\x06"
     assert bytes(slice_rows(spark, 3, 0, b"rgbRGB")[0]["image"]["data"]) == b"bgrBGR"
     assert bytes(slice_rows(spark, 3, 1, b"rRgGbB")[0]["image"]["data"]) == b"bgrBGR"
-    assert slice_rows(spark, 1, 0, b"\0\0\0\0", bits=16)[0]["error"] == "only 8-bit pixels are supported"
+    assert slice_rows(spark, 1, 0, b"\0\0\0\0", bits=32)[0]["error"] == "only pixels of 8 or 16 bits are supported"
+    text = lambda tag, vr, v: element(tag, vr, v)
+    grays = lambda *a, **k: list(bytes(slice_rows(spark, *a, **k)[0]["image"]["data"]))[::3]
+    assert grays(1, 0, b"\0\0\xff\xff", bits=16) == [0, 255]
+    signed = element(0x00280101, "US", b"\x0c\0") + element(0x00280103, "US", b"\1\0")
+    assert grays(1, 0, b"\x00\x08\xff\x07", bits=16, more=signed) == [0, 255]  # 12 bits stored
+    window = text(0x00281050, "DS", b"50\\60") + text(0x00281051, "DS", b"101 ") + text(0x00281052, "DS", b"-100") + text(0x00281053, "DS", b"2 ")
+    assert grays(1, 0, b"\x4b\x64", more=window) == [129, 255]  # 2 * 75 - 100 = 50: half a step above the middle
+    assert grays(1, 0, b"\0\xff", more=text(0x00280004, "CS", b"MONOCHROME1 ")) == [255, 0]
+    ybr = slice_rows(spark, 3, 0, bytes([100, 128, 128, 76, 85, 255]), more=text(0x00280004, "CS", b"YBR_FULL"))[0]["image"]["data"]
+    assert list(bytes(ybr)) == [100, 100, 100, 0, 0, 254]
+    other = slice_rows(spark, 1, 0, b"ab", more=text(0x00280004, "CS", b"PALETTE COLOR "))[0]
+    assert other["error"] == "photometric interpretation PALETTE COLOR is not supported"
+
+
+def test_character_sets(spark):
+    name = lambda charset, raw: {r["tag"]: r["value"] for r in tags_of(spark, dicom_file(
+        element(0x00080005, "CS", charset) + element(0x00100010, "PN", raw)))}["(0010,0010)"]
+    assert name(b"ISO_IR 126", b"\xc4^\xd0") == "\u0394^\u03a0"
+    assert name(b"ISO_IR 192", "Å^Ü".encode()) == "Å^Ü"
+    assert name(b"GB18030 ", "王^小东".encode("gb18030")) == "王^小东"
+    assert name(b"\\ISO 2022 IR 87 ", "Yamada^=山田".encode("iso2022_jp")) == "Yamada^=山田"
+    assert name(b"\\ISO 2022 IR 149", b"Hong=\x1b$)C" + "洪".encode("euc_kr")) == "Hong=洪"
+    assert name(b"ISO_IR 999", b"ab").startswith("UNREADABLE (unknown character set ISO_IR 999")
+    inner = sequence(0x0040A730, [element(0x00080005, "CS", b"ISO_IR 192") + element(0x00100010, "PN", "Å ".encode())])
+    rows = tags_of(spark, dicom_file(element(0x00080005, "CS", b"ISO_IR 100") + inner + element(0x00104000, "LT", b"\xc5 ")))
+    assert [r["value"] for r in rows if r["tag"] == "(0010,4000)"] == ["Å"]
     assert slice_rows(spark, 3, 0, b"\0\0")[0]["error"] == "pixel data is too short"
 
 
