@@ -25,10 +25,12 @@ def ntz(df, *names):
 
 
 @query("stream_queue_depth", """
-SELECT make_timestamp(epoch_us(ts) // 3600000000 * 3600000000) AS slot_start, event_type AS folder, count(*) AS n_files FROM events GROUP BY ALL""")
+SELECT make_timestamp(epoch_us(ts) // 3600000000 * 3600000000) AS slot_start, event_type AS folder, count(*) AS n_files FROM events GROUP BY ALL
+HAVING min(epoch_us(ts)) // 3600000000 * 3600000000 + 7200000000 <= (SELECT max(epoch_us(ts)) FROM events)""")
 def stream_queue_depth(spark, sf):
+    """Append mode: the slots that the watermark, an hour behind the last event, has closed."""
     moved = events(spark, sf).withColumnRenamed("event_type", "folder")
-    return ntz(drain(spark, queues.queue_depth(moved, "1 hour", "1 hour"), "complete"), "slot_start")
+    return ntz(drain(spark, queues.queue_depth(moved, "1 hour", "1 hour")), "slot_start")
 
 
 @query("stream_arrivals", "SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0")
@@ -62,10 +64,12 @@ def stream_outbox(spark, sf):
 @query("stream_heartbeats", """
 WITH l AS (SELECT user_id AS node, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events),
 s AS (SELECT *, sum(CASE WHEN b IS NULL OR ts - b >= INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY node ORDER BY ts, event_id) AS no FROM l)
-SELECT node, min(ts) AS first_beat, max(ts) AS last_beat, count(*) AS beats FROM s GROUP BY node, no""")
+SELECT node, min(ts) AS first_beat, max(ts) AS last_beat, count(*) AS beats FROM s GROUP BY node, no
+HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM events)""")
 def stream_heartbeats(spark, sf):
+    """Append mode: the stretches that the watermark has closed."""
     beats = events(spark, sf).select(F.col("user_id").alias("node"), "ts")
-    return ntz(drain(spark, queues.heartbeats(beats, "2 hours"), "complete"), "first_beat", "last_beat")
+    return ntz(drain(spark, queues.heartbeats(beats, "2 hours")), "first_beat", "last_beat")
 
 
 @query("stream_expired", """
