@@ -253,16 +253,17 @@ def slices(frames: DataFrame, volume: str = "volume", count: str = "frames") ->
     """One row per frame, numbered from 1, cut from frame-major bytes; a null count keeps one row."""
     v = F.col(volume)
     size = v["height"] * v["width"] * v["channels"]
-    whole = F.struct(v["data"].alias("data"), size.alias("size"), F.col(count).alias("count"))
+    shape = [v[f].alias(f) for f in ("height", "width", "channels")]
+    whole = F.struct(v["data"].alias("data"), size.alias("size"), F.col(count).alias("count"), *shape)
+    # all that a row needs comes out of the generator: the volume itself goes no further
     cut = bind(whole, lambda w: F.transform(
         F.sequence(F.lit(1), w["count"]),
-        lambda i: F.struct(i.alias("slice_no"), F.substring(w["data"], (i - 1) * w["size"] + 1, w["size"]).alias("__part")),
+        lambda i: F.struct(i.alias("slice_no"), image(
+            w["height"], w["width"], w["channels"], F.substring(w["data"], (i - 1) * w["size"] + 1, w["size"])).alias("__part")),
     ))
     rest = [F.col(c) for c in frames.columns if c not in (volume, "slice_no")]
-    shape = [v[f].alias(f"__{f}") for f in ("height", "width", "channels")]
-    framed = image(F.col("__height"), F.col("__width"), F.col("__channels"), F.col("__part")).alias(volume)
-    return frames.select(*rest, *shape, F.inline_outer(cut)).select(
-        *[framed if c == volume else F.col(c) for c in frames.columns if c != "slice_no"], "slice_no"
+    return frames.select(*rest, F.inline_outer(cut)).select(
+        *[F.col("__part").alias(volume) if c == volume else F.col(c) for c in frames.columns if c != "slice_no"], "slice_no"
     )
 
 
@@ -275,7 +276,8 @@ def split_bands(df: DataFrame, rows: int, halo: int, img: str = "image") -> Data
     """
     i = F.col(img)
     whole = F.struct(
-        i["data"].alias("data"), (i["width"] * i["channels"]).alias("stride"), i["height"].alias("height")
+        i["data"].alias("data"), (i["width"] * i["channels"]).alias("stride"),
+        *[i[f].alias(f) for f in ("height", "width", "channels")],
     )
 
     def band(w: Column, b: Column) -> Column:
@@ -284,15 +286,15 @@ def split_bands(df: DataFrame, rows: int, halo: int, img: str = "image") -> Data
         taken = F.least(w["height"], y0 + rows + halo) - (y0 - top)
         return F.struct(
             b.alias("band"), y0.alias("y0"), top.alias("top"), F.least(w["height"] - y0, F.lit(rows)).alias("kept"),
-            taken.alias("__taken"), _lines(w["data"], y0 - top, taken, w["stride"]).alias("__part"),
+            image(taken, w["width"], w["channels"], _lines(w["data"], y0 - top, taken, w["stride"])).alias("__part"),
         )
 
     cut = bind(whole, lambda w: F.transform(
         F.sequence(F.lit(0), F.floor((w["height"] - 1) / rows).cast("int")), lambda b: band(w, b)
     ))
     rest = [c for c in df.columns if c != img]
-    bands = df.select(*rest, i["width"].alias("__width"), i["channels"].alias("__channels"), F.inline_outer(cut))
-    part = image(F.col("__taken"), F.col("__width"), F.col("__channels"), F.col("__part")).alias(img)
+    bands = df.select(*rest, F.inline_outer(cut))
+    part = F.col("__part").alias(img)
     return bands.select(*[part if c == img else F.col(c) for c in df.columns], "band", "y0", "top", "kept")
 
 
@@ -317,20 +319,19 @@ bytes_to_ints = once(F.arrow_udf(_bytes_to_ints, T.ArrayType(T.IntegerType())))
 def unpack(df: DataFrame, img: str = "image") -> DataFrame:
     """Packed gray or colour images to long rows ``(height, width, y, x, c, v)``.
 
-    Images fall into lines first, so no array ever holds more than one line.
+    Images fall into lines first; from there on no row holds more than one line.
     """
     i = F.col(img)
     keep = [c for c in df.columns if c != img]
     stride = i["width"] * i["channels"]
-    whole = F.struct(i["data"].alias("data"), stride.alias("stride"), i["height"].alias("height"))
-    cut = bind(whole, lambda w: F.transform(
-        F.sequence(F.lit(0), w["height"] - 1), lambda y: F.substring(w["data"], y * w["stride"] + 1, w["stride"])
-    ))
-    # lines leave the image before they meet the array function, which then never sees the image
-    lines = df.select(
-        *keep, i["height"].alias("height"), i["width"].alias("width"), i["channels"].alias("channels"),
-        F.posexplode_outer(cut).alias("y", "__line"),
-    )
+    shape = [i[f].alias(f) for f in ("height", "width", "channels")]
+    whole = F.struct(i["data"].alias("data"), stride.alias("stride"), *shape)
+    # lines and sizes leave the image together, so neither it nor a copy goes with them to the array function
+    cut = bind(whole, lambda w: F.transform(F.sequence(F.lit(0), w["height"] - 1), lambda y: F.struct(
+        w["height"].alias("height"), w["width"].alias("width"), w["channels"].alias("channels"), y.alias("y"),
+        F.substring(w["data"], y * w["stride"] + 1, w["stride"]).alias("__line"),
+    )))
+    lines = df.select(*keep, F.inline_outer(cut))
     head = [*keep, "height", "width", "channels", "y"]
     cells = lines.select(*head, bytes_to_ints(F.col("__line")).alias("__v")).select(
         *head, F.posexplode_outer("__v").alias("__i", "v")
