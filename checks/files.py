@@ -10,7 +10,7 @@ from checks.registry import query, table
 from checks.relations import _nodes, customer_lines
 from glyphray.functions.text import base_name
 from glyphray.operators import chain, packed, reports
-from glyphray.plans.headers import dump_headers, header_documents
+from glyphray.plans.headers import dump_headers, header_documents, header_results
 from glyphray.plans.images import slice_files
 from glyphray.session import bind, work_folder
 from glyphray.sources import dicom, files, ini, logs, nodes, sinks
@@ -138,6 +138,18 @@ def header_errors(spark, sf):
     return rows.select(F.col("file_id").alias("o_orderkey"), F.when(known, F.col("error")).otherwise("truncated").alias("error"))
 
 
+@query("header_accounting", """
+SELECT count(*) AS total, count(*) FILTER (o_orderkey % 50 NOT IN (7, 9, 11)) AS documents, count(*) FILTER (o_orderkey % 50 IN (7, 9, 11)) AS failures
+FROM orders""")
+def header_accounting(spark, sf):
+    """Every file ends as a document or as a failure with a reason, from one parse."""
+    found = header_results(order_files(spark, sf).withColumn("modificationTime", F.lit(0)))
+    return found.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("error").isNull() & F.col("header").isNotNull()).alias("documents"),
+        F.count_if(F.col("error").isNotNull() & F.col("header").isNull()).alias("failures"),
+    )
+
+
 @query("scan_files", """
 SELECT page_id % 7 AS a, page_id % 3 AS b, octet_length(encode(html)) + 1 AS length, html AS text FROM pages""")
 def scan_files(spark, sf):

@@ -9,12 +9,21 @@ from pyspark.sql import functions as F
 
 from glyphray.functions.names import crop_name, slice_name
 from glyphray.operators import chain, crop, packed, reports
+from glyphray.session import work_folder
 from glyphray.sources import dicom, files, sinks
 
 
-def slice_files(scanned: DataFrame, out: str) -> None:
-    """Slices of every readable file, named by instance and number."""
+def slice_files(scanned: DataFrame, out: str, failures: str | None = None) -> None:
+    """Slices of every readable file, named by instance and number.
+
+    With ``failures``, a table of the files that gave none goes there, from the same pass.
+    """
     cut = dicom.read_slices(files.filter_magic(scanned))
+    if failures is not None:
+        spark, parsed = scanned.sparkSession, work_folder(scanned.sparkSession, "slices")
+        cut.write.parquet(parsed)
+        cut = spark.read.parquet(parsed)
+        cut.filter("error is not null").select("file_id", "error").write.mode("overwrite").json(failures)
     sinks.write_slices(cut.filter("error is null"), out)
 
 

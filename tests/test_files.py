@@ -277,3 +277,21 @@ def test_ordered_text_output(spark, tmp_path):
 def test_packed_volume_without_frames(spark):
     df = spark.createDataFrame([(None,)], "frames int").withColumn("volume", F.lit(None).cast(packed.IMAGE))
     assert packed.slices(df).first()["slice_no"] is None
+
+
+def test_failures_come_from_the_same_pass(spark, tmp_path):
+    from glyphray.plans.headers import dump_headers
+    from glyphray.plans.images import slice_files
+    from glyphray.sources import files
+
+    (tmp_path / "in").mkdir()
+    good = element(0x00080018, "UI", b"1.2") + element(0x00100010, "PN", b"A^B") + element(0x00100020, "LO", b"1")
+    (tmp_path / "in" / "good.dcm").write_bytes(dicom_file(good))
+    (tmp_path / "in" / "bad.dcm").write_bytes(dicom_file(b"\x10\x00\x20\x00??\x02\x00ab"))
+    scanned = files.scan_files(spark, str(tmp_path / "in"))
+    dump_headers(scanned, str(tmp_path / "docs"), str(tmp_path / "lost"))
+    assert [r["patient_key"] for r in spark.read.json(str(tmp_path / "docs")).collect()] == ["A_B_1.json"]
+    lost = spark.read.json(str(tmp_path / "lost")).collect()
+    assert len(lost) == 1 and lost[0]["path"].endswith("bad.dcm") and lost[0]["error"]
+    slice_files(scanned, str(tmp_path / "slices"), str(tmp_path / "unsliced"))
+    assert {r["error"] for r in spark.read.json(str(tmp_path / "unsliced")).collect()} >= {"no pixel data"}
