@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from checks.fixtures import CPX, as_bytes, gray_levels
+from checks.fixtures import CPX, PX, ROIS, as_bytes, gray_levels, nation_rois, packed_gray
 from checks.registry import query, table
 from checks.relations import _nodes, customer_lines
 from glyphray.functions.text import base_name
 from glyphray.operators import chain, packed, reports
 from glyphray.plans.headers import dump_headers, header_documents, header_results
-from glyphray.plans.images import slice_files
+from glyphray.plans.images import crop_images, slice_files
 from glyphray.session import bind, work_folder
 from glyphray.sources import dicom, files, ini, logs, nodes, sinks
 
@@ -460,3 +460,43 @@ def write_default_config(spark, sf):
     rois = _part_rois(spark, sf)
     configs = rois.select("config").distinct().unionByName(spark.range(1).select(F.lit("none").alias("config")))
     return sinks.default_config_lines(configs, rois)
+
+
+# --- written and read back ---------------------------------------------------------------------
+
+
+@query("crops_round_trip", f"""WITH {PX}, {ROIS}
+SELECT 'img' || image_id || '_' || r.label || '.jpg' AS image_path, CAST(y - greatest(y1, 0) AS INTEGER) AS y, CAST(x - greatest(x1, 0) AS INTEGER) AS x, p
+FROM px JOIN rois r ON px.image_id % 5 = r.config AND x >= x1 AND x < x2 AND y >= y1 AND y < y2 WHERE x2 > x1 AND y2 > y1""")
+def crops_round_trip(spark, sf):
+    """Every image cut by the regions of its own configuration, written, and read back as pixels."""
+    images = packed_gray(spark, sf).select(
+        F.concat(F.lit("in/img"), F.col("image_id"), F.lit(".png")).alias("image_name"),
+        (F.col("image_id") % 5).cast("int").alias("config"), "image",
+    )
+    out = work_folder(spark, "crop-images")
+    sinks.write_crop_images(crop_images(images, nation_rois(spark, sf), ["config"]), out)
+    return packed.unpack_gray(spark.read.parquet(out)).select("image_path", "y", "x", "p")
+
+
+@query("config_round_trip", f"""WITH {_ROI_LINES}
+SELECT config, 'ROI' AS section, 'roi_' || roi_no AS key, regexp_extract(line, '= (.*)$', 1) AS value FROM lines
+UNION ALL SELECT DISTINCT p_brand, 'ocr', 'language', 'en' FROM part""")
+def config_round_trip(spark, sf):
+    """New configuration files written, then read as INI: every region is there again."""
+    rois, out = _part_rois(spark, sf), work_folder(spark, "configs")
+    sinks.write_config_files(sinks.default_config_lines(rois.select("config").distinct(), rois), out)
+    found = ini.read_ini(ini.read_ini_text(spark, f"{out}/*"))
+    # the folder's name is escaped once as a partition and once as an address
+    name = F.url_decode(F.url_decode(F.regexp_extract("source", "/config=([^/]*)/", 1)))
+    return found.filter("section = 'ROI' or key = 'language'").select(name.alias("config"), "section", "key", "value")
+
+
+@query("registry_round_trip", """
+SELECT s_name AS label, '/n/' || s_suppkey AS path, CASE WHEN s_suppkey % 2 = 0 THEN 'stopped' ELSE 'running' END AS status,
+       CAST(CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey + 1 END AS INTEGER) AS pid FROM supplier""")
+def registry_round_trip(spark, sf):
+    out = work_folder(spark, "registry")
+    sinks.write_lines(sinks.registry_lines(_nodes(spark, sf)), out, ["value"], "value")
+    good, _ = nodes.read_node_registry(spark.read.text(out))
+    return good.select("label", "path", "status", "pid")

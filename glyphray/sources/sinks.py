@@ -38,6 +38,11 @@ def write_crops(crops: DataFrame, path: str, image_name: str = "image_name", lab
     named.write.mode("overwrite").parquet(path)
 
 
+def write_crop_images(crops: DataFrame, path: str) -> None:
+    """Crops that already carry their name (``image_path, image``); a region that left nothing has no file."""
+    crops.filter("image is not null").write.mode("overwrite").parquet(path)
+
+
 def append_report(lines: DataFrame, path: str, run_id: str | None = None) -> None:
     """Append report lines. Without a run id a re-run repeats its blocks, as appending does;
     with one, a re-run of the same run replaces its own partition only."""
@@ -89,6 +94,14 @@ def default_config_lines(configs: DataFrame, rois: DataFrame, config: str = "con
     return fixed.unionByName(heads).unionByName(body)
 
 
+def write_config_files(lines: DataFrame, path: str, config: str = "config", order: str = "line_no") -> None:
+    """One file per configuration, in a folder of its name; a configuration file is small by nature."""
+    (
+        lines.select(config, order, "line").repartition(config).sortWithinPartitions(config, order)
+        .select(config, F.col("line").alias("value")).write.mode("overwrite").partitionBy(config).text(path)
+    )
+
+
 def registry_lines(nodes: DataFrame) -> DataFrame:
     return nodes.select(node_line(*[F.col(c) for c in ("label", "path", "status", "pid")]).alias("value"))
 
