@@ -9,7 +9,7 @@ by a 64-bit hash of the set. Two classes of sizes a <= b link when the Jaccard s
   a set can have before its o-th last. Linked sets share one of these at places that leave room for o in common.
 
 Where small ends is chosen by cost from the histogram of set sizes. The global order puts shingles that are frequent,
-as far as counts inside tasks show, after all others. The order only steers cost, whatever it is the result is exact.
+as far as counts inside batches of rows show, after all others. The order only steers cost, whatever it is the result is exact.
 
 Lists are first cut down by a star: each class is compared with one other, the one that most often heads its lists (the
 head has the fewest rare shingles of its own, like the original of a group of copies). What remains are pairs in one
@@ -38,7 +38,7 @@ from glyphray.llm.store import shuffle_partitions, stored
 MOST_SMALL = 16
 # Frequent shingles known to every task, at most.
 FREQUENT = 1 << 18
-# A shingle counts as frequent if so many documents of one task's share have it.
+# A shingle counts as frequent if so many different texts of one batch of rows have it.
 OFTEN = 3
 # Lists that may be longer than this are spread over tasks.
 SPREAD = 20_000
@@ -370,7 +370,7 @@ def _sql_fits(n: Column, place: Column, m: Column, other: Column) -> Column:
 def _remaining_pairs(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """All pairs that share a list and may be similar, but are not yet in one component.
 
-    Lists are split by component first; pairs are made between components only, never inside one.
+    Lists that lie inside one component are left out; pairs are made between components only.
     """
     tagged = stored(
         lists.join(roots.withColumnRenamed("node", "class"), "class", "left")
@@ -378,12 +378,10 @@ def _remaining_pairs(lists: DataFrame, roots: DataFrame) -> DataFrame:
     )
     mixed = tagged.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
     live = stored(tagged.join(stored(mixed, "join-mixed"), "key", "left_semi"), "join-live")
-    parts = stored(live.select("key", "root").distinct(), "join-parts")
     of = lambda i: live.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("class", "n", "place", "root")])
-    two = parts.withColumnRenamed("root", "root1").join(parts.withColumnRenamed("root", "root2"), "key").filter("root1 < root2")
     fits = _sql_fits(F.col("n1"), F.col("place1"), F.col("n2"), F.col("place2"))
     return (
-        two.join(of(1), ["key", "root1"]).join(of(2), ["key", "root2"]).filter(fits)
+        of(1).join(of(2), "key").filter((F.col("root1") < F.col("root2")) & fits)
         .select(F.least("class1", "class2").alias("a"), F.greatest("class1", "class2").alias("b")).distinct()
     )
 
