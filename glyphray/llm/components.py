@@ -19,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges"
     )
     seen = _mark(pairs)
-    while True:
+    while seen[0]:
         pairs = stored(_small_star(stored(_large_star(pairs), "edges")), "edges")
         mark = _mark(pairs)
         if mark == seen:

@@ -83,15 +83,14 @@ def _copies(seed):
     return [(i * 3 % 1009, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, seed):
-    rows = _copies(seed)
+def test_against_brute_force(spark):
+    rows = _copies(1)
     assert run(spark, rows) == brute(rows)
 
 
 @pytest.mark.parametrize("change", [
-    {"MOST_SMALL": 0}, {"boundary": lambda h, x: 10}, {"boundary": lambda h, x: 16, "SPREAD": 2, "OFTEN": 2},
-    {"SPREAD": 1, "OFTEN": 1}, {"FREQUENT": 10, "FILTER_BITS": 6},
+    {"MOST_SMALL": 0, "SPREAD": 1, "OFTEN": 1}, {"boundary": lambda h, x: 16, "SPREAD": 2, "OFTEN": 2},
+    {"boundary": lambda h, x: 10, "FREQUENT": 10, "FILTER_BITS": 6},
 ])
 def test_no_setting_changes_the_result(spark, monkeypatch, change):
     for name, value in change.items():
