@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from checks.fixtures import CPX, PX, ROIS, as_bytes, gray_levels, nation_rois, packed_gray
 from checks.registry import query, table
 from checks.relations import _nodes, customer_lines
-from glyphray.functions.text import base_name
 from glyphray.operators import chain, packed, reports
 from glyphray.plans.headers import dump_headers, header_documents, header_results
 from glyphray.plans.images import crop_images, slice_files

@@ -3,7 +3,6 @@
 import time
 
 import pytest
-from pyspark.sql import functions as F
 
 from glyphray.streaming import arrivals
 from glyphray.streaming.runner import drain
