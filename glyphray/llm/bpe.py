@@ -25,7 +25,7 @@ NEVER = 1 << 60
 LONG = 1 << 18
 
 # Fixed value: the white space of Unicode, which the pattern's \s stands for.
-WHITE_SPACE = r"\t-\r\x20\x85\xa0  -     　"
+WHITE_SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def compile_pattern(pattern: str) -> regex.Pattern:
