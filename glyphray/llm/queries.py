@@ -43,8 +43,9 @@ def op1(spark, sf):
     given = table(spark, sf, "conversations").select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text"
     )
-    planted = spark.createDataFrame(
-        [(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string"
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"),
     )
     blocks = chat.format_turns(given.unionByName(planted))
     return chat.digests(chat.read_back(blocks)).join(chat.validity(blocks).drop("state"), "conv_id")
