@@ -48,7 +48,8 @@ def op1(spark, sf):
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"),
     )
     blocks = chat.format_turns(given.unionByName(planted))
-    return chat.digests(chat.read_back(blocks)).join(chat.validity(blocks).drop("state"), "conv_id")
+    valid = chat.validity(blocks).select(F.col("conv_id").alias("valid_id"), "valid")
+    return chat.digests(chat.read_back(blocks)).join(valid, F.col("conv_id").eqNullSafe(F.col("valid_id"))).drop("valid_id")
 
 
 # --- 3 sharding --------------------------------------------------------------------------------

@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from glyphray.llm import chat
+from glyphray.llm import chat, queries
 from tests.llm import plain
 
 ROLES = ["user", "assistant", "system", "tool", "User", "?user", None, "", "a: b", "### x", "</turn>\n", "a:"]
@@ -61,6 +61,18 @@ def test_no_control_string_stays_in_a_text(spark):
         assert r.u == r.text and not any(c in r.e for c in t.controls)
 
 
+def test_the_query_keeps_turns_without_conversation(spark, tmp_path):
+    rows = [(None, 0, "user", "q"), (None, 1, "assistant", "a"), (None, 1, "assistant", "a"), (4, 0, "user", "q"), (4, 1, "assistant", "b")]
+    table(spark, rows).write.parquet(str(tmp_path / "conversations.parquet"))
+    found = queries.op1(spark, str(tmp_path)).collect()
+    got = {r.conv_id: r for r in found}
+    assert len(found) == len(got) == 3 and set(got) == {None, 4, -7}
+    for conv in (None, 4):
+        r = got[conv]
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == expected([x[1:] for x in rows if x[0] == conv])
+    assert {conv: r.valid for conv, r in got.items()} == {None: False, 4: True, -7: True}
+
+
 def test_other_templates(spark):
     t = chat.Template(open="<|", sep="|>", close="<|end|>", controls=("<|", "|>"), learned=("assistant", "tool"), labels={"user": "u"})
     rows = [(1, 0, "user", "a <|end|> b"), (1, 1, "tool", "|> c"), (1, 2, "u", "d")]
