@@ -42,7 +42,9 @@ def once_only(stream: DataFrame, key: str = "path", ts: str = "ts", within: str
     return stream.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
 
 
-def start_header_stream(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+def start_header_stream(
+    stream: DataFrame, table: str, checkpoint: str, dictionary: DataFrame | None = None
+) -> StreamingQuery:
     """Arriving files to header documents, appended per batch to ``table``.
 
     The table is a log: a replayed batch overwrites its own partition, nothing else is rewritten.
@@ -50,7 +52,7 @@ def start_header_stream(stream: DataFrame, table: str, checkpoint: str) -> Strea
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        docs = header_documents(files.filter_magic(batch)).withColumn("batch", F.lit(batch_id))
+        docs = header_documents(files.filter_magic(batch), dictionary).withColumn("batch", F.lit(batch_id))
         (
             docs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("batch").parquet(table)

@@ -95,6 +95,46 @@ def test_nested_items(spark, explicit, undefined):
     assert items[0]["(0040,A043) Concept Name Code Sequence"][1]["(0008,0104) Code Meaning"] == "two"
 
 
+def test_implicit_files_beyond_the_usual_tags(spark):
+    e = lambda tag, vr, v: element(tag, vr, v, False)
+    long, item = b"reason " * 40 + b"end.", e(0x00080104, "LO", b"one") + e(0x00189073, "FD", struct.pack("<d", 1.5))
+    body = b"".join([
+        e(0x00080000, "UL", struct.pack("<I", 400)),
+        sequence(0x00081032, [item, item], False, False),
+        sequence(0x00089999, [item], False, False),  # in no dictionary
+        e(0x00091001, "LT", long),
+        e(0x0009100A, "UN", b"\xfe\xff\x00\xe0" + b"\x02\0\0\0ab"),  # starts like an item, but is none
+        e(0x0010EEEE, "LT", long),  # in no dictionary
+        e(0x00280103, "US", b"\1\0"),
+        e(0x00280106, "SS", struct.pack("<h", -5)),
+        e(0x00321030, "LO", b"fall"),
+        e(0x00324000, "LT", long),
+        e(0x60023000, "OW", bytes(60)),
+    ])
+    content = dicom_file(body, dicom.IMPLICIT)
+    rows = tags_of(spark, content)
+    top = {r["tag"]: r for r in rows if r["depth"] == 0}
+    assert rows[0]["error"] is None and len(top) == 11
+    assert {t: (r["name"], r["vr"]) for t, r in top.items() if r["name"] and t[1:5] != "0009"} == {
+        "(0008,0000)": ("Group Length", "UL"), "(0008,1032)": ("Procedure Code Sequence", "SQ"),
+        "(0028,0103)": ("Pixel Representation", "US"), "(0028,0106)": ("Smallest Image Pixel Value", "SS"),
+        "(0032,1030)": ("Reason for Study", "LO"), "(0032,4000)": ("Study Comments", "LT"), "(6002,3000)": ("Overlay Data", "OW"),
+    }
+    assert top["(0032,4000)"]["value"] == long.decode() and top["(0028,0106)"]["value"] == "-5"
+    assert top["(0010,EEEE)"]["value"] == top["(0009,1001)"]["value"] == long.hex()
+    assert top["(0009,100A)"]["value"] == "feff00e0020000006162" and top["(6002,3000)"]["value"] == "00" * 50 + "..."
+    assert top["(0008,9999)"]["vr"] == "SQ" and len(json.loads(top["(0008,1032)"]["value"])) == 2
+    assert [(r["item_path"], r["value"]) for r in rows if r["depth"] == 1] == [
+        ([1, 0], "one"), ([1, 0], "1.5"), ([1, 1], "one"), ([1, 1], "1.5"), ([2, 0], "one"), ([2, 0], "1.5"),
+    ]
+    more = spark.createDataFrame(
+        [(0x0010EEEE, "LT", "History"), (0x00091001, "LT", "Vendor Note"), (0x00324000, "LT", "Renamed")], "tag_no int, vr string, name string")
+    df = spark.createDataFrame([("f", bytearray(content))], "path string, content binary")
+    told = {r["tag"]: r for r in dicom.read_header_tags(df, dictionary=more).collect()}
+    assert {told[t]["value"] for t in ("(0010,EEEE)", "(0009,1001)", "(0032,4000)")} == {long.decode()}
+    assert [told[t]["name"] for t in ("(0010,EEEE)", "(0009,1001)", "(0032,4000)")] == ["History", "[Vendor Note]", "Renamed"]
+
+
 @pytest.mark.parametrize("content", [
     b"", b"DICM", b"\0" * 132, PREAMBLE[:-1] + b"X", dicom_file(element(0x00100020, "LO", b"abcdef"))[:-3],
     dicom_file(b"\x10\x00\x20\x00??\x02\x00ab"), dicom_file(sequence(0x0040A730, [b""])[:-8]),
