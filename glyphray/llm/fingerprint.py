@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphray.llm import textops
+from glyphray.llm.components import components
 from glyphray.llm.store import shuffle_partitions, stored
 
 PERMUTATIONS = 128
@@ -80,12 +81,25 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (``doc_id, other_id``) whose true similarity reaches ``threshold``, with it as ``jaccard``."""
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    other = text.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text"))
+    return (
+        pairs.join(text, "doc_id").join(other, "other_id").select("doc_id", "other_id", "text", "other_text")
+        .mapInArrow(_jaccard, "doc_id long, other_id long, jaccard double")
+        .filter(F.col("jaccard") >= threshold)
+    )
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32, n: int = PERMUTATIONS) -> DataFrame:
     """Links of documents to a document with a smaller id that looks alike: ``doc_id, other_id, jaccard``.
 
     Signatures are cut into ``bands``; documents that agree on a whole band share a bucket. Every document is compared
-    with the smallest id of each of its buckets (not with all others: a bucket of m gives m links) and the links whose
-    true Jaccard similarity reaches ``threshold`` stay. Documents without words or id are linked with nothing.
+    with the smallest id of each of its buckets and of its fingerprint; then all documents that share a bucket but are not
+    in one component of the links so far are compared, where one document stands for those of equal fingerprint and
+    words. The links whose true Jaccard similarity reaches ``threshold`` stay: their components are those of all pairs
+    that share a bucket. Documents without words or id are linked with nothing.
     """
     width = 4 * n // bands
     prints = stored(
@@ -96,16 +110,32 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32, n:
     keyed = prints.select("doc_id", F.inline(cut))
     heads = stored(keyed.groupBy("band", "part").agg(F.min("doc_id").alias("other_id"), F.max("doc_id").alias("last"))
                    .filter("other_id < last").drop("last"), "fingerprint-heads")
+    first = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("other_id"))
+    twins = stored(prints.join(first, "fingerprint").filter("other_id < doc_id"), "fingerprint-twins")
     pairs = stored(
-        keyed.join(heads, ["band", "part"]).filter("other_id < doc_id").select("doc_id", "other_id").distinct(), "fingerprint-pairs"
+        keyed.join(heads, ["band", "part"]).filter("other_id < doc_id").select("doc_id", "other_id")
+        .union(twins.select("doc_id", "other_id")).distinct(), "fingerprint-pairs"
     )
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    other = text.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text"))
-    return (
-        pairs.join(text, "doc_id").join(other, "other_id").select("doc_id", "other_id", "text", "other_text")
-        .mapInArrow(_jaccard, "doc_id long, other_id long, jaccard double")
-        .filter(F.col("jaccard") >= threshold)
+    links = stored(_verified(docs, pairs, threshold), "fingerprint-links")
+    return links.union(_verified(docs, _remaining_pairs(prints, cut, twins, pairs, links), threshold))
+
+
+def _remaining_pairs(prints: DataFrame, cut: Column, twins: DataFrame, pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs that share a bucket, are in different components of ``links`` and not among ``pairs``."""
+    same = twins.join(links.filter("jaccard = 1").select("doc_id", "other_id").distinct(), ["doc_id", "other_id"])
+    rest = prints.join(same.select("doc_id", "fingerprint"), ["doc_id", "fingerprint"], "left_anti")
+    roots = components(links.select(F.col("doc_id").alias("a"), F.col("other_id").alias("b"))).withColumnRenamed("node", "doc_id")
+    tagged = stored(
+        rest.join(roots, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"), F.inline(cut)),
+        "fingerprint-tagged",
+    )
+    mixed = tagged.groupBy("band", "part").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    live = stored(tagged.join(mixed.select("band", "part"), ["band", "part"], "left_semi"), "fingerprint-live")
+    of = lambda i: live.select("band", "part", *[F.col(c).alias(f"{c}{i}") for c in ("doc_id", "root")])
+    found = of(1).join(of(2), ["band", "part"]).filter("root1 < root2").select(
+        F.greatest("doc_id1", "doc_id2").alias("doc_id"), F.least("doc_id1", "doc_id2").alias("other_id")
     )
+    return stored(found.distinct().join(pairs, ["doc_id", "other_id"], "left_anti"), "fingerprint-rest")
 
 
 # --- every document against an edited copy of itself and its successor --------------------------

@@ -105,3 +105,21 @@ def test_near_duplicates_by_bands(spark):
     a, b = (fingerprint.fingerprints(df).filter(f"doc_id = {i}").first().fingerprint for i in (0, 1))
     both = spark.createDataFrame([(a, b)], "a string, b string")
     assert both.select(fingerprint.likeness("a", "b")).first()[0] > 0.8
+
+
+def test_near_duplicates_below_an_unlike_head(spark):
+    def family(seed):
+        base = [f"w{i}" for i in np.random.default_rng(seed).integers(0, 5000, 300)]
+        edit = lambda at, size, to: [*base[:at], *[f"{to}{j}" for j in range(size)], *base[at + size:]]
+        return [" ".join(w) for w in (edit(10, 45, "h"), base, edit(200, 5, "b"), base, edit(100, 45, "c"))]
+
+    # one permutation, one band: a seed where all share the one bucket, whose head is unlike the others
+    texts = next(t for t in map(family, range(100)) if len(np.unique(fingerprint.signatures(pa.array(t), 1))) == 1)
+    alike = {
+        (i, j) for i in range(5) for j in range(i)
+        if plain.jaccard(plain.shingles(texts[i]), plain.shingles(texts[j])) >= 0.8
+    }
+    assert alike == {(2, 1), (3, 1), (3, 2)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    links = {(r.doc_id, r.other_id) for r in fingerprint.near_duplicates(df, bands=1, n=1).collect()}
+    assert links <= alike and len(links) >= 2 and {i for pair in links for i in pair} == {1, 2, 3}
