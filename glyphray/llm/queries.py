@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
 from checks.registry import query, table
-from glyphray.llm import bpe, chat, exact_dedup, fingerprint, langid, lm, mixing, ngram_join, sharding, warc
+from glyphray.llm import bpe, chat, exact_dedup, fingerprint, langid, lm, mixing, ngram_join, sharding, urls, warc
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -211,3 +213,39 @@ def op6(spark, sf):
     return warc.archive_and_read(table(spark, sf, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+# --- 12 URL filter -----------------------------------------------------------------------------
+
+URL_RULES = [
+    urls.Rule("allow", "com", "/"), urls.Rule("block", "example.com", "/en/"), urls.Rule("allow", "www.example.com", "/en/"),
+    urls.Rule("block", "net", "/es/"), urls.Rule("block", "net", "/fr/"),
+]
+
+
+def _url_sql() -> str:
+    low = lambda x: f"translate({x}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    edge = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+    count = lambda terms: " + ".join(
+        f"CAST(regexp_matches(whole, '(?s)(?:^|{edge}){t}(?:{edge}|$)') AS BIGINT)" for t in terms)
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    longest = sorted(URL_RULES, key=lambda r: -len(r.host + r.path))
+    choose = lambda of: " ".join(f"WHEN {fits(r)} THEN '{of(r)}'" for r in longest)
+    return rf"""
+WITH u AS (
+  SELECT page_id, coalesce(url, '') AS url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+p AS (
+  SELECT page_id, {low("url")} AS whole, {low("regexp_extract(rest, '^[^/?#]*', 0)")} AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+c AS (SELECT *, {count(urls.STRICT)} AS strict_terms, {count(urls.SOFT)} AS soft_terms FROM p)
+SELECT page_id, host, path, CASE {choose(lambda r: r.host + r.path)} END AS rule,
+  CASE {choose(lambda r: r.verdict)} WHEN strict_terms > 0 OR soft_terms >= {urls.SEVERAL} THEN 'block' ELSE 'allow' END AS verdict,
+  soft_terms
+FROM c
+"""
+
+
+@query("op12_url_filter", _url_sql())
+def op12(spark, sf):
+    return urls.judge(table(spark, sf, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "soft_terms")
