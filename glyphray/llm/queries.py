@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from checks.registry import query, table
-from glyphray.llm import bpe, chat, exact_dedup, fingerprint, langid, lm, mixing, ngram_join, sharding, urls, warc
+from glyphray.llm import bpe, chat, exact_dedup, fingerprint, langid, lm, mixing, ngram_join, sharding, urls, warc, whitening
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -249,3 +249,11 @@ FROM c
 @query("op12_url_filter", _url_sql())
 def op12(spark, sf):
     return urls.judge(table(spark, sf, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "soft_terms")
+
+
+# --- 11 embedding whitening --------------------------------------------------------------------
+
+
+@query("op11_whitening")
+def op11(spark, sf):
+    return whitening.components(table(spark, sf, "embeddings"))
