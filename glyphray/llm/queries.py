@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from checks.registry import query, table
-from glyphray.llm import bpe, chat, exact_dedup, fingerprint, langid, lm, mixing, ngram_join, sharding, urls, warc, whitening
+from glyphray.llm import bpe, chat, exact_dedup, fingerprint, langid, lexical, lm, mixing, ngram_join, sharding, urls, warc, whitening
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -257,3 +257,35 @@ def op12(spark, sf):
 @query("op11_whitening")
 def op11(spark, sf):
     return whitening.components(table(spark, sf, "embeddings"))
+
+
+# --- 13 ranked lexical search ------------------------------------------------------------------
+
+_SEARCH_SQL = rf"""
+WITH words AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms, doc_id, row_number() OVER () AS r FROM documents),
+asked AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms, item_id, row_number() OVER () AS i FROM benchmark),
+q AS (SELECT i, term, CAST(count(*) AS BIGINT) AS times FROM (SELECT i, unnest(terms) AS term FROM asked) GROUP BY i, term),
+v AS (SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(terms) AS term FROM words) GROUP BY r, term),
+t AS (
+  SELECT CAST(count(*) FILTER (len(terms) > 0) AS BIGINT) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM words),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM v, t GROUP BY term, n_docs),
+m AS (SELECT r, doc_id, 25 + (75 * CAST(len(terms) AS BIGINT) * n_docs) // total AS m FROM words, t WHERE len(terms) > 0),
+s AS (
+  SELECT i, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN v USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY i, r),
+o AS (
+  SELECT i, doc_id, score, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM s JOIN m USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o JOIN asked USING (i) WHERE rank <= 10
+"""
+
+
+@query("op13_lexical_search", _SEARCH_SQL)
+def op13(spark, sf):
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

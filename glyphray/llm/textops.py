@@ -82,11 +82,14 @@ def runs_of_texts(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for every text the index of its first word (one more at the end)."""
+def words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and for every text the index of its first word (one more at the end).
+
+    ``blank`` says of every byte whether it separates words.
+    """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~blank[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
