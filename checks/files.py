@@ -12,7 +12,7 @@ from glyphray.operators import chain, packed, reports
 from glyphray.plans.headers import dump_headers, header_documents, header_results
 from glyphray.plans.images import crop_images, slice_files
 from glyphray.session import bind, work_folder
-from glyphray.sources import dicom, files, ini, logs, nodes, sinks
+from glyphray.sources import dicom, files, ini, logs, nodes, ranges, sinks
 
 # --- bytes of files, built by Spark expressions --------------------------------------------------
 
@@ -198,6 +198,24 @@ def supplier_images(spark, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").select(key, file.alias("content"))
 
 
+@query("header_ranges", """
+WITH s AS (SELECT s_suppkey AS k FROM supplier),
+px AS (SELECT k, string_agg(printf('%02x', (k * 7 + i * 13) % 256), '' ORDER BY i) AS head FROM s, range(50) t(i) GROUP BY k)
+SELECT '9.8.' || k AS uid, tag, vr, value FROM s JOIN px USING (k), (VALUES
+  ('(0008,0018)', 'UI', '9.8.' || k), ('(0010,0010)', 'PN', 'Name^' || k % 10), ('(0010,0020)', 'LO', CAST(k % 10 AS VARCHAR)),
+  ('(0028,0002)', 'US', '3'), ('(0028,0006)', 'US', '0'), ('(0028,0008)', 'IS', '2'), ('(0028,0010)', 'US', '4'),
+  ('(0028,0011)', 'US', '4'), ('(0028,0100)', 'US', '8'), ('(7FE0,0010)', 'OW', head || '...')) v(tag, vr, value)""")
+def header_ranges(spark, sf):
+    """Files that are listed, not loaded: magic bytes and headers are fetched by ranges of each file."""
+    folder = work_folder(spark, "ranges")
+    write_binary(supplier_images(spark, sf), folder)
+    accepted = ranges.with_magic(files.scan_files(spark, folder).drop("content")).filter("accepted")
+    parsed = dicom.with_header_by_path(accepted)
+    tags = F.col("header.tags")
+    named = parsed.select(dicom.top_value(tags, "(0008,0018)").alias("uid"), F.inline(tags))
+    return named.select("uid", "tag", "vr", "value")
+
+
 @query("slice_files", """
 SELECT '9.8.' || s_suppkey || '_slice_' || (i // 48 + 1) || '.jpg' AS image_name, CAST(i % 48 // 12 AS INTEGER) AS y, CAST(i % 12 // 3 AS INTEGER) AS x,
        CAST(2 - i % 3 AS INTEGER) AS c, CAST((s_suppkey * 7 + i * 13) % 256 AS INTEGER) AS v
