@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.files import supplier_images, write_binary
+from checks.files import EXPLICIT, dicom_file, element, raw, supplier_images, write_binary
 from checks.registry import query, table
 from glyphray.operators import history
 from glyphray.session import work_folder
 from glyphray.sources import sinks
 from glyphray.streaming import arrivals, queues
+from glyphray.streaming.keyed import KeyedTable, start_live
 from glyphray.streaming.runner import drain
 
 
@@ -89,6 +90,47 @@ def stream_last_status(spark, sf):
     return drain(spark, queues.last_status(status), "complete")
 
 
+@query("stream_live_status", "SELECT user_id AS node, max_by(event_type, ts) AS status FROM events GROUP BY 1")
+def stream_live_status(spark, sf):
+    """Update mode over several batches: each writes the nodes it changes; the table has the last status of all."""
+    folder, state = work_folder(spark, "live-events"), work_folder(spark, "live-checkpoint")
+    given = table(spark, sf, "events")
+    given.withColumn("ts", F.col("ts").cast("timestamp")).repartitionByRange(5, "ts").write.parquet(folder)
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    status = queues.last_status(stream.select(
+        F.col("user_id").alias("node"), "ts", "event_id", F.col("event_type").alias("status")))
+    live = KeyedTable(spark, work_folder(spark, "live"), status.schema, ["node"], buckets=4, every=3)
+    start_live(status, live, state).awaitTermination()
+    return live.read()
+
+
+@query("stream_header_table", """
+SELECT 'document' AS kind, 'P_' || s_suppkey || '.json' AS key,
+  CASE WHEN s_suppkey % 3 = 0 THEN '9.3.' WHEN s_suppkey % 2 = 0 THEN '9.2.' ELSE '9.1.' END || s_suppkey AS uid, CAST(1 AS BIGINT) AS n
+FROM supplier WHERE s_suppkey % 7 <> 0
+UNION ALL SELECT 'failure', NULL, NULL, count(*) + count(*) FILTER (s_suppkey % 2 = 0) + count(*) FILTER (s_suppkey % 3 = 0)
+FROM supplier WHERE s_suppkey % 7 = 0""")
+def stream_header_table(spark, sf):
+    """Files arrive in three rounds: later files of a patient replace earlier ones, broken files are counted."""
+    folder, out, failed, state = (work_folder(spark, n) for n in ("arrive", "header-table", "failed", "checkpoint"))
+    headers = arrivals.header_table(spark, out, buckets=4, every=2)
+    key = F.col("s_suppkey")
+    for number in (1, 2, 3):
+        body = dicom_file(
+            [element(0x00080018, "UI", raw(F.concat(F.lit(f"9.{number}."), key))), element(0x00100010, "PN", raw(F.lit("P"))),
+             element(0x00100020, "LO", raw(key.cast("string")))], EXPLICIT)
+        content = F.when(key % 7 == 0, F.substring(body, 1, 170)).otherwise(body)
+        write_binary(table(spark, sf, "supplier").filter(key % number == 0).select(content.alias("content")), f"{folder}/{number}")
+        arriving = arrivals.new_files(spark, f"{folder}/[1-{number}]")
+        arrivals.start_header_table(arriving, headers, failed, state).awaitTermination()
+    uid = F.col("header")["(0008,0018) SOP Instance UID"]
+    documents = headers.read().select(
+        F.lit("document").alias("kind"), F.col("patient_key").alias("key"), uid.alias("uid"), F.lit(1).cast("long").alias("n"))
+    none = F.lit(None).cast("string")
+    count = spark.read.parquet(failed).agg(F.count(F.lit(1)).alias("n"))
+    return documents.union(count.select(F.lit("failure"), none, none, "n"))
+
+
 @query("stream_once_only", "SELECT event_id AS path, ts FROM events")
 def stream_once_only(spark, sf):
     """Every announcement comes twice, every file is processed once."""

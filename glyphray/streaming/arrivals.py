@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,8 +11,12 @@ from pyspark.sql.streaming import StreamingQuery
 from glyphray.functions.names import is_arrival
 from glyphray.functions.text import base_name
 from glyphray.operators.headers import latest_per_key
-from glyphray.plans.headers import header_documents
+from glyphray.plans.headers import header_results
+from glyphray.session import work_folder
 from glyphray.sources import files, logs
+from glyphray.streaming.keyed import KeyedTable
+
+HEADERS = "patient_key string, path string, modificationTime timestamp, header map<string,string>"
 
 
 def new_files(spark: SparkSession, folder: str, per_trigger: int | None = None, archive: str | None = None) -> DataFrame:
@@ -43,21 +49,61 @@ def once_only(stream: DataFrame, key: str = "path", ts: str = "ts", within: str
 
 
 def start_header_stream(
-    stream: DataFrame, table: str, checkpoint: str, dictionary: DataFrame | None = None
+    stream: DataFrame, table: str, checkpoint: str, dictionary: DataFrame | None = None, failures: str | None = None
 ) -> StreamingQuery:
-    """Arriving files to header documents, appended per batch to ``table``.
+    """Arriving files to header documents, appended per batch to ``table``, and files that give none to ``failures``.
 
-    The table is a log: a replayed batch overwrites its own partition, nothing else is rewritten.
-    ``current_headers`` gives the latest document per patient.
+    Both are logs: a replayed batch overwrites its own partition, nothing else is rewritten.
+    ``current_headers`` gives the latest document per patient. ``failures`` is ``table`` with ``_failures`` behind it by
+    default.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        docs = header_documents(files.filter_magic(batch), dictionary).withColumn("batch", F.lit(batch_id))
-        (
-            docs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch").parquet(table)
-        )
+        docs, failed = _parsed(batch, dictionary)
+        _log(docs, table, batch_id)
+        _log(failed, failures or f"{table.rstrip('/')}_failures", batch_id)
+
+    return _start(stream, save, checkpoint)
+
+
+def header_table(spark: SparkSession, path: str, **settings: int) -> KeyedTable:
+    """The newest document per patient as a table with a bounded number of files."""
+    schema = spark.createDataFrame([], HEADERS).schema
+    return KeyedTable(spark, path, schema, ["patient_key"], ["modificationTime", "path"], **settings)
+
+
+def start_header_table(
+    stream: DataFrame, table: KeyedTable, failures: str, checkpoint: str, dictionary: DataFrame | None = None
+) -> StreamingQuery:
+    """Arriving files to ``table`` (see ``header_table``): a later file of a patient replaces an earlier one.
+
+    Files that give no document go to the log ``failures`` (``path, error, batch``), from the same parse.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        docs, failed = _parsed(batch, dictionary)
+        table.merge(docs, batch_id)
+        _log(failed, failures, batch_id)
+
+    return _start(stream, save, checkpoint)
+
+
+def _parsed(batch: DataFrame, dictionary: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Documents and failures of a batch, parsed once."""
+    out = work_folder(batch.sparkSession, "arrived")
+    header_results(files.filter_magic(batch), dictionary).write.parquet(out)
+    found = batch.sparkSession.read.parquet(out)
+    return found.filter("error is null").drop("error"), found.filter("error is not null").select("path", "error")
+
+
+def _log(rows: DataFrame, path: str, batch_id: int) -> None:
+    (
+        rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+    )
+
 
+def _start(stream: DataFrame, save: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()

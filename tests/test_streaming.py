@@ -5,6 +5,7 @@ import time
 import pytest
 
 from glyphray.streaming import arrivals
+from glyphray.streaming.keyed import KeyedTable
 from glyphray.streaming.runner import drain
 from tests.test_files import dicom_file, element
 
@@ -65,3 +66,47 @@ def test_hand_over_archives(spark, tmp_path):
     assert sorted((r["file"], r["folder"], r["event"]) for r in events.collect()) == [
         ("f1", "Queue", "arrived"), ("f2", "Queue", "arrived"),
     ]
+
+
+def test_keyed_table_stays_small_and_takes_replays(spark, tmp_path):
+    path = str(tmp_path / "live")
+    schema = spark.createDataFrame([], "node long, status string, ts long").schema
+    live = KeyedTable(spark, path, schema, ["node"], ["ts"], buckets=2, every=3)
+    assert live.read().collect() == []
+    rows = lambda: {r.node: (r.status, r.ts) for r in live.read().collect()}
+    want = {}
+    for batch in range(9):
+        new = [(batch % 4, f"s{batch}", batch), (9, f"old{batch}", 100 - batch), (None, f"n{batch}", batch)]
+        frame = spark.createDataFrame(new, schema)
+        live.merge(frame, batch)
+        live.merge(frame, batch)  # a replay
+        for node, status, ts in new:
+            want[node] = max(want.get(node, ("", -1)), (status, ts), key=lambda v: v[1])
+    assert rows() == want
+    for batch in (0, 4):  # long merged
+        live.merge(spark.createDataFrame([(77, "late", 1)], schema), batch)
+    assert rows() == want
+    assert len(list((tmp_path / "live").rglob("part-*.parquet"))) <= 2 * 2 + 2 * 3 * 2
+    (tmp_path / "live" / "delta" / "50").mkdir(parents=True)  # a write that never ended
+    assert rows() == want
+
+
+def test_header_table_and_failures(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    table = arrivals.header_table(spark, str(tmp_path / "t"), buckets=2, every=2)
+    failed = str(tmp_path / "failed")
+
+    def run():
+        stream = arrivals.new_files(spark, str(folder), 1)
+        arrivals.start_header_table(stream, table, failed, str(tmp_path / "c")).awaitTermination()
+        return {r["patient_key"]: r["header"]["(0020,0013) Instance Number"] for r in table.read().collect()}
+
+    (folder / "one").write_bytes(header(b"1", b"1"))
+    (folder / "bad").write_bytes(header(b"1", b"1")[:-1])
+    assert run() == {"A_B_1.json": "1"}
+    time.sleep(1.1)
+    (folder / "two").write_bytes(header(b"1", b"2"))
+    (folder / "three").write_bytes(header(b"9", b"3"))
+    assert run() == {"A_B_1.json": "2", "A_B_9.json": "3"} == run()
+    assert [r.path.rsplit("/", 1)[1] for r in spark.read.parquet(failed).collect()] == ["bad"]
