@@ -90,8 +90,8 @@ def load_order(names: Iterable[str], registry: dict[str, Module] = REGISTRY) ->
 def apply_chain(images: DataFrame, modules: Sequence[Module], img: str = "image") -> DataFrame:
     """Fold the modules over ``img``; adds ``used array<string>`` and ``error string``.
 
-    The first error stops the chain of that image and keeps its partial result. A module that
-    yields no image makes the next one start again from the original.
+    The first error, of a check or of the module itself, stops the chain of that image and keeps its partial result.
+    A module that yields no image without failing makes the next one start again from the original.
     """
     state = images.withColumns(
         {
@@ -108,14 +108,16 @@ def apply_chain(images: DataFrame, modules: Sequence[Module], img: str = "image"
         failure = module.check(source) if module.check else F.lit(None).cast("string")
         df = df.withColumn("__fail", F.when(F.col("error").isNull(), failure))
         runs = F.col("error").isNull() & F.col("__fail").isNull()
-        done = module.process(F.when(runs, source), **module.params)
+        df = df.withColumn("__done", module.process(F.when(runs, source), **module.params))
+        broken = packed.failure(F.col("__done"))
+        went = runs & broken.isNull()
         return df.withColumns(
             {
-                img: F.when(runs, done).otherwise(F.col(img)),
-                "used": F.when(runs, F.array_append("used", F.lit(module.name))).otherwise(F.col("used")),
-                "error": F.coalesce("error", "__fail"),
+                img: F.when(went, F.col("__done")).otherwise(F.col(img)),
+                "used": F.when(went, F.array_append("used", F.lit(module.name))).otherwise(F.col("used")),
+                "error": F.coalesce("error", "__fail", broken),
             }
-        ).drop("__fail")
+        ).drop("__fail", "__done")
 
     return reduce(step, modules, state).drop("__original")
 

@@ -142,14 +142,27 @@ def _stacks(images: pa.Array, channels: int | None):
 
 
 def _lift(kernel, channels: int | None = None):
-    """Arrow scalar function around a kernel; null for null, wrong channel count or damaged images."""
+    """Arrow scalar function around a kernel; null for null, wrong channel count or damaged images.
+
+    Images on which the kernel fails become ``failure`` values, and these pass through later kernels.
+    """
 
     def run(images: pa.Array) -> pa.Array:
         out = [None] * len(images)
+        for i in np.flatnonzero(images.field("height").is_null().to_numpy(zero_copy_only=False)):
+            image = images[i].as_py()
+            if image and [k for k, v in image.items() if v is not None] == ["data"]:
+                out[i] = image
         for at, stack in _stacks(images, channels):
             try:
-                done = np.ascontiguousarray(kernel(stack), dtype=np.uint8)
-            except (ValueError, IndexError, MemoryError):  # these images stay null, the others of the batch go on
+                done = kernel(stack)
+                if done is None:  # a kernel may choose to give no image
+                    continue
+                done = np.ascontiguousarray(done, dtype=np.uint8)
+            except Exception as e:  # these images say why, the others of the batch go on
+                text = (str(e) or type(e).__name__).encode()
+                for i in at:
+                    out[i] = {"height": None, "width": None, "channels": None, "data": text}
                 continue
             height, width, depth = done.shape[1:]
             for i, a in zip(at, done):
@@ -160,6 +173,12 @@ def _lift(kernel, channels: int | None = None):
     return once(F.arrow_udf(run, IMAGE))
 
 
+def failure(img: Column) -> Column:
+    """Why a kernel gave no image; null for an image and for none. Such a value has no size, and the reason as its bytes."""
+    size = F.coalesce(img["height"], img["width"], img["channels"])
+    return F.when(size.isNull(), F.decode(img["data"], "UTF-8"))
+
+
 def to_gray(img: Column) -> Column:
     return _lift(_gray, 3)(img)
 
@@ -209,7 +228,7 @@ def select_box(img: Column, x1: int, y1: int, x2: int, y2: int) -> Column:
     def kernel(a):
         cut = a[..., max(y1, 0):max(y2, 0), max(x1, 0):max(x2, 0), :]
         if 0 in cut.shape:
-            raise ValueError("empty box")
+            return None
         return np.repeat(cut, 3, axis=C) if cut.shape[C] == 1 else cut
 
     return _lift(kernel)(img)

@@ -31,17 +31,27 @@ def crop_images(images: DataFrame, rois: DataFrame, keys: Sequence[str] = ()) ->
     """``image_path, image`` with every region cut out, named after image and label.
 
     Regions are cut in the JVM while image and region meet, so full images go no further. With
-    ``keys`` (a configuration name) each image meets only its own configuration.
+    ``keys`` (a configuration name) each image meets only its own configuration. Regions that can't be cut
+    are left out; ``crop_failures`` tells them.
     """
+    return crop_results(images, rois, keys).filter("error is null").drop("error")
+
+
+def crop_results(images: DataFrame, rois: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``image_path, image, error`` of every image and region that belong together: a crop, or why there is none."""
     box = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
-    good = crop.usable_rois(rois).select(*keys, "label", "x1", "y1", "x2", "y2")
-    pairs = crop.pair_with_rois(images, good, keys)
-    return pairs.select(
+    judged = rois.select(*keys, "label", "x1", "y1", "x2", "y2", crop.box_error(*box).alias("error"))
+    return crop.pair_with_rois(images, judged, keys).select(
         crop_name(F.col("image_name"), F.col("label")).alias("image_path"),
-        packed.crop(F.col("image"), *box).alias("image"),
+        F.when(F.col("error").isNull(), packed.crop(F.col("image"), *box)).alias("image"), "error",
     )
 
 
+def crop_failures(images: DataFrame, rois: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``image_path, error`` where a region of an image's configuration can't be cut; no pixels are read."""
+    return crop_results(images, rois, keys).filter("error is not null").select("image_path", "error")
+
+
 def read_text(crops: DataFrame, modules: Sequence[chain.Module], make_reader: Callable[[], Callable]) -> DataFrame:
     """``image_path, used, lines, ocr_error`` for cropped images: module chain, then recogniser."""
     done = chain.processed_or_original(crops, modules)
