@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphray.llm.store import stored
+from glyphray.llm.store import scratch, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,18 +15,19 @@ def components(edges: DataFrame) -> DataFrame:
     to the smallest of them, until nothing changes: a number of rounds logarithmic in the size. Minima are combined
     before they are shuffled, and the joins' sides are plain exchanges, so a hub is no bottleneck.
     """
-    pairs = stored(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges"
-    )
-    seen = _mark(pairs)
-    while seen[0]:
-        pairs = stored(_small_star(stored(_large_star(pairs), "edges")), "edges")
-        mark = _mark(pairs)
-        if mark == seen:
-            break
-        seen = mark
-    roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+    with scratch(edges.sparkSession):
+        pairs = stored(
+            edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges"
+        )
+        seen = _mark(pairs)
+        while seen[0]:
+            pairs = stored(_small_star(stored(_large_star(pairs), "edges")), "edges")
+            mark = _mark(pairs)
+            if mark == seen:
+                break
+            seen = mark
+        roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+        return stored(pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots), "roots", keep=True)
 
 
 def _mark(pairs: DataFrame) -> tuple:

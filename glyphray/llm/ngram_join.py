@@ -13,8 +13,9 @@ as far as counts inside batches of rows show, after all others. The order only s
 
 Lists are first cut down by a star: each class is compared with one other, the one that most often heads its lists (the
 head has the fewest rare shingles of its own, like the original of a group of copies). What remains are pairs in one
-list from different components; all of those that sizes and places allow are compared. So copies of one text, however
-many, cost one comparison each, and no link between different texts is lost.
+list from different components; all of those that sizes and places allow are compared. A pair comes out of the list of
+its first common shingle only, however many lists it shares. So copies of one text, however many, cost one comparison
+each, and no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from glyphray.llm import textops
 from glyphray.llm.components import components
-from glyphray.llm.store import shuffle_partitions, stored
+from glyphray.llm.store import count_limit, scratch, shuffle_partitions, stored
 
 # Small sets have at most so many shingles; beyond that subsets are too many to consider.
 MOST_SMALL = 16
@@ -44,6 +45,12 @@ OFTEN = 3
 SPREAD = 20_000
 # Bits of the filter for the texts that are to be compared.
 FILTER_BITS = 23
+# First lists of a class by which it is known whether a pair has met in an earlier list.
+EARLY = 8
+# Bytes of text whose sets are worked out together.
+PIECE = 1 << 19
+# Pairs with one class that are compared side by side.
+CHUNK = 256
 _SIZE_LIMIT = (1 << 22) - 1
 
 
@@ -84,7 +91,7 @@ def _class(values: np.ndarray) -> int:
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    for i, j, values, offsets in textops.shingle_sets(batch.column("text")):
+    for i, j, values, offsets in textops.shingle_sets(batch.column("text"), limit=PIECE):
         for d in range(i, j):
             yield d, values[offsets[d - i]:offsets[d - i + 1]]
 
@@ -125,16 +132,10 @@ def _survey(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _frequent(counted: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``most`` most frequent shingles at most (sorted), and their counts."""
+    """The most frequent shingles (sorted) and their counts: as many steps of equal count as ``most`` rows have room for."""
     sums = stored(counted.groupBy("shingle").agg(F.sum("n").alias("n")), "join-frequent")
-    steps = sums.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().collect()
-    limit, room = 10_001, most
-    for step in sorted(steps, key=lambda r: -r.n):
-        room -= step["count"]
-        if room < 0:
-            break
-        limit = step.n
-    rows = sums.filter(F.col("n") >= limit).toArrow()
+    limit = count_limit(sums, "n", most)
+    rows = sums.filter(F.col("n") >= limit).toArrow() if limit is not None else sums.limit(0).toArrow()
     shingles = rows.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(shingles)
     return shingles[order], rows.column("n").to_numpy()[order].astype(np.int64)
@@ -285,9 +286,9 @@ def _lists(packed: DataFrame, parts: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``class, text`` of one document of each class in ``wanted``.
+    """``class, text`` of one document at least of each class in ``wanted``, and of some others.
 
-    A filter of ``2^FILTER_BITS`` bits, the same at any size, keeps most other texts out of the shuffle.
+    A filter of ``2^FILTER_BITS`` bits, the same at any size, keeps most other texts out.
     """
     low = F.col("class").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     words = wanted.select(low.alias("bit")).groupBy(F.floor(F.col("bit") / 32).cast("int").alias("at")).agg(
@@ -312,35 +313,40 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 [pa.array(names, pa.int64()), batch.column("text").take(pa.array(at, pa.int64()))], ["class", "text"]
             )
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "class long, text string")
-    return found.join(wanted, "class", "left_semi").dropDuplicates(["class"])
+    return docs.select("doc_id", "text").mapInArrow(run, "class long, text string")
 
 
 def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (``a, b``) whose sets really are similar enough; their texts are fetched and compared."""
+    """The pairs (``a, b``) whose sets really are similar enough; their texts are fetched and compared.
+
+    Pairs with one ``b`` lie side by side, in chunks of about ``CHUNK``: its text comes once for a chunk, ahead of the
+    others. A hot ``b`` has many chunks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.zeros(0, np.uint64)
         for batch in batches:
-            for start in range(0, len(batch), 500):
-                part = batch.slice(start, 500)
-                sets = {}
-                for name, text in (("a", "a_text"), ("b", "b_text")):
-                    names = part.column(name).to_pylist()
-                    new = {n: d for d, n in enumerate(names) if n not in sets}
-                    texts = part.column(text).take(pa.array(list(new.values()), pa.int64()))
-                    for (d, values), n in zip(_sets(pa.RecordBatch.from_arrays([texts], ["text"])), new, strict=True):
-                        sets[n] = values.copy()
-                yes = []
-                for a, b in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True):
-                    both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                    yes.append(100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both))
-                yield part.select(["a", "b"]).filter(pa.array(yes))
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    texts = stored(_texts(docs, stored(wanted, "join-wanted")), "join-texts")
-    of = lambda side: texts.select(F.col("class").alias(side), F.col("text").alias(f"{side}_text"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_text", "b_text").mapInArrow(
-        run, "a long, b long"
+            yes, members, names = [], batch.column("member").to_pylist(), batch.column("class").to_pylist()
+            for d, values in _sets(batch):
+                if members[d]:
+                    both = len(np.intersect1d(values, head, assume_unique=True))
+                    if 100 * both >= 80 * (len(values) + len(head) - both):
+                        yes.append(d)
+                else:
+                    head = values.copy()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([names[d] for d in yes], pa.int64()), batch.column("b").take(pa.array(yes, pa.int64()))], ["a", "b"]
+            )
+
+    chunks = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    dealt = pairs.join(chunks, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("chunks")).alias("chunk"))
+    heads = dealt.select(F.col("b").alias("class"), "b", "chunk", F.lit(False).alias("member")).distinct()
+    routes = stored(dealt.select(F.col("a").alias("class"), "b", "chunk", F.lit(True).alias("member")).union(heads), "join-routes")
+    parts = shuffle_partitions(docs.sparkSession)
+    return (
+        _texts(docs, routes.select("class")).dropDuplicates(["class"]).join(routes, "class")
+        .repartition(parts, "b", "chunk").sortWithinPartitions("b", "chunk", "member")
+        .mapInArrow(run, "a long, b long")
     )
 
 
@@ -370,39 +376,63 @@ def _sql_fits(n: Column, place: Column, m: Column, other: Column) -> Column:
 def _remaining_pairs(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """All pairs that share a list and may be similar, but are not yet in one component.
 
-    Lists that lie inside one component are left out; pairs are made between components only.
+    Lists that lie inside one component are left out, and lists of two are their pair. In longer lists pairs are made
+    between components only, and only in the list of the first shingle, in the global order, that both have: that is
+    known of two classes if one of their ``EARLY`` first lists is common. Where none is, and where places are rounded (sets
+    of over 4096), the pair comes from every list it shares.
     """
     tagged = stored(
         lists.join(roots.withColumnRenamed("node", "class"), "class", "left")
         .select("key", "class", "n", "place", F.coalesce("root", "class").alias("root")), "join-tagged"
     )
-    mixed = tagged.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    live = stored(tagged.join(stored(mixed, "join-mixed"), "key", "left_semi"), "join-live")
-    of = lambda i: live.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("class", "n", "place", "root")])
+    entry = F.struct("class", "n", "place")
+    mixed = stored(
+        tagged.groupBy("key").agg(
+            F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("entries"),
+            F.min(entry).alias("x"), F.max(entry).alias("y"),
+        ).filter("lo < hi").select("key", "entries", "x", "y"), "join-mixed"
+    )
+    twos = mixed.filter("entries = 2").filter(
+        _sql_fits(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"))
+    ).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    longer = stored(tagged.join(mixed.filter("entries > 2").select("key"), "key", "left_semi"), "join-live")
+    early = longer.groupBy("class").agg(F.collect_list(F.struct("place", "key")).alias("own")).select(
+        "class", F.slice(F.sort_array("own"), 1, EARLY)["key"].alias("early")
+    )
+    live = stored(longer.join(early, "class"), "join-early")
+    of = lambda i: live.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("class", "n", "place", "root", "early")])
     fits = _sql_fits(F.col("n1"), F.col("place1"), F.col("n2"), F.col("place2"))
-    return (
-        of(1).join(of(2), "key").filter((F.col("root1") < F.col("root2")) & fits)
-        .select(F.least("class1", "class2").alias("a"), F.greatest("class1", "class2").alias("b")).distinct()
+    first = F.get(F.array_intersect("early1", "early2"), F.lit(0))
+    once = F.coalesce(first == F.col("key"), F.lit(True)) | (F.greatest("n1", "n2") > 4096)
+    pairs = (
+        of(1).join(of(2), "key").filter((F.col("root1") < F.col("root2")) & fits & once)
+        .select(F.least("class1", "class2").alias("a"), F.greatest("class1", "class2").alias("b"))
     )
+    return twos.union(pairs).distinct()
 
 
 def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``doc_id, n, class`` of every document (class null for an empty set), and ``node, root`` of linked classes."""
+    spark = docs.sparkSession
     members, counted = _survey(docs)
-    shingles, counts = _frequent(counted, FREQUENT)
-    sizes = members.filter("class is not null").groupBy("class").agg(F.min("n").alias("n"))
-    histogram = {r.n: r.sets for r in sizes.filter(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.count(F.lit(1)).alias("sets")).collect()}
-    total = members.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first().t
-    typical = 1 + float((counts.astype(np.float64) ** 2).sum()) / max(total, 1)
-    small = boundary(histogram, typical)
-    parts = shuffle_partitions(docs.sparkSession)
-    lists = stored(_lists(_keys(docs, small, shingles, counts, 8 * parts), parts), "join-lists")
-    star = stored(_linked(docs, stored(_star_pairs(lists), "join-star")), "join-links")
-    roots = stored(components(star), "join-roots")
-    rest = stored(_linked(docs, stored(_remaining_pairs(lists, roots), "join-rest")), "join-links")
-    # the components so far stand for the links that made them
-    edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest)
-    return members, stored(components(edges), "join-roots")
+    with scratch(spark):
+        shingles, counts = _frequent(counted, FREQUENT)
+        sizes = members.filter("class is not null").groupBy("class").agg(F.min("n").alias("n"))
+        histogram = {r.n: r.sets for r in sizes.filter(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.count(F.lit(1)).alias("sets")).collect()}
+        total = members.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first().t
+        typical = 1 + float((counts.astype(np.float64) ** 2).sum()) / max(total, 1)
+        small = boundary(histogram, typical)
+        parts = shuffle_partitions(spark)
+        lists = stored(_lists(_keys(docs, small, shingles, counts, 8 * parts), parts), "join-lists")
+        with scratch(spark):
+            star = stored(_linked(docs, stored(_star_pairs(lists), "join-star")), "join-links", keep=True)
+        roots = components(star)
+        with scratch(spark):
+            rest = stored(_remaining_pairs(lists, roots), "join-rest", keep=True)
+        links = stored(_linked(docs, rest), "join-links")
+        # the components so far stand for the links that made them
+        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)
+        return members, stored(components(edges), "join-roots", keep=True)
 
 
 def component_ids(docs: DataFrame) -> DataFrame:
@@ -447,12 +477,12 @@ def kept_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [_class(values) if len(values) else None for _, values in _sets(batch)]
+            names = [_class(values) for _, values in _sets(batch)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.int64())], [*batch.schema.names, "__class"])
 
-    classed = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__class", LongType())]))
-    full = classed.filter("__class is not null").select("*", key("__class"))
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    classed = docs.filter(worded).mapInArrow(run, StructType([*docs.schema.fields, StructField("__class", LongType())]))
     return (
-        full.join(keep, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
-        .union(classed.filter("__class is null").select(*docs.columns))
+        classed.select("*", key("__class")).join(keep, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+        .union(docs.filter(~worded))
     )

@@ -157,10 +157,12 @@ def distinct(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return values[fresh], np.concatenate([[0], np.cumsum(fresh)])[offsets]
 
 
-def shingle_sets(column: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For runs of texts ``i..j`` of the column: their sets of shingles as sorted hashes, and offsets by text."""
+def shingle_sets(
+    column: pa.Array, k: int = SHINGLE, limit: int = PIECE
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For runs of texts ``i..j`` of the column, of about ``limit`` bytes: their sets of shingles as sorted hashes, and offsets by text."""
     data, offsets = buffers(column)
-    for i, j in runs_of_texts(offsets):
+    for i, j in runs_of_texts(offsets, limit):
         piece, at = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
         starts, ends, first = words(piece, at)
         yield i, j, *distinct(*shingles(hash_spans(piece, starts, ends), first, k))
