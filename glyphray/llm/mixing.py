@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphray.llm.store import stored
+from glyphray.llm.store import scratch, stored
 
 # Slices of the shuffled order of a source, and bins of virtual time: fixed, so their tables stay small at any size.
 SLICES = 4096
@@ -45,6 +45,15 @@ def targets(sizes: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
     )
 
 
+def _order(doc_id: Column, size: Column) -> Column:
+    """Place of a row in its source's shuffled order: a slice of a hash of id and size, the hash, id and size."""
+    mark = F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("")), size))
+    return F.struct(
+        (F.conv(F.substring(mark, 1, 6), 16, 10).cast("long") % SLICES).cast("int").alias("slice"), mark.alias("mark"),
+        doc_id.alias("doc_id"), size.alias("size"),
+    )
+
+
 def mix(sized: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
     """How often each document is taken into the mix: ``doc_id, source, size, source_size, target, times``.
 
@@ -57,11 +66,18 @@ def mix(sized: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) ->
     No task sees a whole source: the running sums go over slices of the hash, and the cut over bins of virtual time.
     Sources pull at a constant rate, so bins of equal width hold about equal sizes. Only narrow rows are shuffled.
     """
-    mark = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size"))
+    timed, cut = _timed(sized, weights, most)
+    times = F.size(F.filter("finish", lambda v: v <= F.col("cut")))
+    return timed.crossJoin(F.broadcast(cut)).select(
+        "doc_id", "source", "size", "source_size", "target", F.coalesce(times, F.lit(0)).cast("long").alias("times")
+    )
+
+
+def _timed(sized: DataFrame, weights: Sequence[int], most: int) -> tuple[DataFrame, DataFrame]:
+    """Every row with its place in its source's order and its finish times, and one row ``cut``: the last time that is taken."""
     rows = stored(
         sized.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
-        .withColumn("mark", mark)
-        .withColumn("slice", (F.conv(F.substring("mark", 1, 6), 16, 10).cast("long") % SLICES).cast("int")),
+        .select("*", _order(F.col("doc_id"), F.col("size")).alias("place")).select("*", "place.slice", "place.mark"),
         "mix-rows",
     )
     goals = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-goals")
@@ -89,7 +105,7 @@ def mix(sized: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) ->
     began = lambda v: v - F.col("size") / F.col("target")
     timed = stored(
         joined.withColumn("finish", F.when((F.col("target") > 0) & (F.col("size") > 0), finish))
-        .select("doc_id", "source", "size", "source_size", "target",
+        .select("doc_id", "source", "size", "source_size", "target", "place",
                 F.coalesce(F.filter("finish", lambda v: began(v) < 1), F.array().cast("array<double>")).alias("finish")),
         "mix-times",
     )
@@ -111,23 +127,33 @@ def mix(sized: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) ->
         .withColumn("upto", F.col("after") - F.col("total") + F.sum("size").over(within))
         .filter("upto <= budget").agg(F.max("v").alias("v"))
     )
-    cut = whole.union(part).agg(F.max("v").alias("cut"))
-    times = F.size(F.filter("finish", lambda v: v <= F.col("cut")))
-    return timed.crossJoin(F.broadcast(cut)).select(
-        "doc_id", "source", "size", "source_size", "target", F.coalesce(times, F.lit(0)).cast("long").alias("times")
-    )
+    return timed, whole.union(part).agg(F.max("v").alias("cut"))
 
 
 def mixed_rows(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as ``mix`` takes it, columns as they were. Shuffles the rows once.
+    """The mix itself: each row of ``docs`` as often as ``mix`` takes it, columns as they were.
 
-    Rows are found again by id, source and size; rows that agree in all three are taken equally often.
+    A round through a source takes its shuffled order up to some place. Those places, at most ``most`` for each source, are all
+    that the rows meet, so texts are not shuffled as long as the sources' table is small enough for Spark to broadcast.
+    Rows that agree in id, source and size are taken equally often.
     """
-    key = F.struct("doc_id", "source", "size").alias("__key")
+    spark = docs.sparkSession
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    times = mix(sized, weights, most).filter("times > 0").select(key, F.col("times").alias("__times")).distinct()
-    own = F.struct("doc_id", "source", word_count(F.col("text")).alias("size")).alias("__key")
+    with scratch(spark):
+        timed, cut = _timed(sized, weights, most)
+        taken = timed.crossJoin(F.broadcast(cut)).select(
+            "source", "place", F.posexplode(F.filter("finish", lambda v: v <= F.col("cut"))).alias("round", "v")
+        )
+        ends = taken.groupBy("source", "round").agg(F.max("place").alias("end"))
+        upto = stored(
+            ends.groupBy("source").agg(F.collect_list("end").alias("__ends")).withColumnRenamed("source", "__source"),
+            "mix-ends", keep=True,
+        )
+    size = word_count(F.col("text"))
+    marked = docs.select("*", F.when(size > 0, _order(F.col("doc_id"), size)).alias("__place"))
+    times = F.size(F.filter("__ends", lambda end: F.col("__place") <= end))
     return (
-        docs.select("*", own).join(stored(times, "mix-taken"), "__key")
-        .select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))).alias("__copy")).drop("__copy")
+        marked.join(upto, F.col("source").eqNullSafe(F.col("__source")) & F.col("__place").isNotNull())
+        .select(*docs.columns, F.explode(F.array_repeat(F.lit(0), times)).alias("__copy"))
+        .drop("__copy")
     )
