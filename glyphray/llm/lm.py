@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphray.llm import textops
-from glyphray.llm.store import stored
+from glyphray.llm.store import count_limit, stored
 
 SPACE = "▁".encode()
 # Words up to so many bytes (with the mark of a word's start) go through the lattice together; longer ones alone.
@@ -248,16 +248,11 @@ def train(counts: DataFrame, pieces: Pieces, rounds: int = 1) -> Pieces:
     return pieces
 
 
-def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes (sorted) and counts of the words above a count that at most ``most`` words exceed, and that count."""
-    steps = counts.groupBy(F.least("c", F.lit(10_000)).alias("c")).count().collect()
-    limit, room = 10_001, most
-    for step in sorted(steps, key=lambda r: -r.c):
-        room -= step["count"]
-        if room < 0:
-            break
-        limit = step.c
-    rows = counts.filter((F.col("c") >= limit) & (F.col("word") != "")).select("h", "c").toArrow()
+def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int | None]:
+    """Hashes (sorted) and counts of the most frequent words, at most ``most``, and the least count among them (None: no words)."""
+    limit = count_limit(counts, "c", most)
+    known = counts.filter("word != ''")
+    rows = (known.filter(F.col("c") >= limit) if limit is not None else known.limit(0)).select("h", "c").toArrow()
     hashes = rows.column("h").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], rows.column("c").to_numpy()[order], limit
@@ -321,7 +316,7 @@ def score(docs: DataFrame, learn: Column, path: str, rounds: int = 1, frequent:
         "lm-texts",
     )
     # words of the frequent table are known already: what is left to join are the rarer ones
-    rest = counts.filter((F.col("c") < limit) & (F.col("word") != "")).select("h", "c")
+    rest = counts.filter(F.lit(limit is None) | (F.col("c") < F.lit(limit))).filter("word != ''").select("h", "c")
     more = (
         texts.select("row", F.explode("rare").alias("h")).join(rest, "h")
         .groupBy("row").agg(F.count(F.lit(1)).alias("more_known"), F.sum(F.log10(F.col("c") + 1.0)).alias("more"))

@@ -152,3 +152,14 @@ def test_hard_rows(spark):
     assert lm.score(df.limit(0), F.lit(True), PATH).collect() == []
     none = lm.score(df, F.lit(False), PATH).collect()
     assert len(none) == len(rows) and {r.base_score for r in none} == {0.0}
+
+
+def test_a_top_step_that_overflows_gives_no_table(spark):
+    counts = spark.createDataFrame([(i, f"w{i}", 20_000) for i in range(9)] + [(50, "", 30_000)], "h long, word string, c long")
+    assert len(lm._frequent(counts, 5)[0]) == 0
+    assert len(lm._frequent(counts, 10)[0]) == 9
+    docs = spark.createDataFrame([(i, "a b a c") for i in range(6)], "doc_id long, text string")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [sorted(map(tuple, lm.score(docs, F.lit(True), path, frequent=n).collect())) for n in (0, 1 << 20)]
+    assert [r[:5] for r in rows[0]] == [r[:5] for r in rows[1]]
+    assert [r[5] for r in rows[0]] == pytest.approx([r[5] for r in rows[1]])

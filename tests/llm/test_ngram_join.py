@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from glyphray.llm import components, ngram_join
+from glyphray.llm import components, ngram_join, store
 from tests.llm import plain
 
 
@@ -148,3 +148,42 @@ def test_components_of_random_graphs(spark):
         assert {(r.node, r.root) for r in got} == {(x, root[x]) for x in touched}
         assert len(got) == len(touched)
     assert np.isfinite(len(got))
+
+
+def test_pairs_come_once_and_long_lists_lose_none(spark, monkeypatch):
+    """Two families that differ by a quarter, where every class of one shares most of its lists with all of the other."""
+    draw = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for family in range(4):
+        own = list(base)
+        for at in draw.sample(range(200), 6):
+            own[at] = f"f{family}-{at}"
+        for d in range(12):
+            text = list(own)
+            for at in draw.sample(range(200), draw.randint(0, 5)):
+                text[at] = f"x{family}-{d}-{at}"
+            rows.append((family * 100 + d, " ".join(text)))
+    draw.shuffle(rows)
+    for early in (8, 1):
+        monkeypatch.setattr(ngram_join, "EARLY", early)
+        assert run(spark, rows) == brute(rows)
+
+
+def test_tables_of_a_join_are_removed(spark, tmp_path, monkeypatch):
+    made = itertools.count()
+    monkeypatch.setattr(store, "shared_folder", lambda spark, name: f"file://{tmp_path}/{name}-{next(made)}")
+    assert run(spark, _copies(2)[:60])
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert left == {"join-survey", "join-roots", "join-rooted", "join-named", "join-answer"} and next(made) > 20
+
+
+def test_limit_of_a_table_that_goes_to_tasks(spark):
+    from glyphray.llm.store import count_limit
+
+    counts = spark.createDataFrame([(n,) for n in [9_000] * 5 + [20_000, 70_000, 3, 3, 8_191, 8_192]], "n long")
+    at_least = lambda limit: counts.filter(counts.n >= limit).count()
+    for most, reach in ((100, 11), (8, 8), (9, 9), (2, 2), (1, 1)):
+        assert at_least(count_limit(counts, "n", most)) == reach
+    assert count_limit(spark.createDataFrame([(1 << 40,)] * 3, "n long"), "n", 2) is None
+    assert count_limit(counts.limit(0), "n", 2) is None
