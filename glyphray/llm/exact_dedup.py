@@ -37,10 +37,11 @@ class DigestIndex:
     def add(self, batch: DataFrame) -> None:
         """Append the digests of ``batch`` (``doc_id``, ``digest``) that the index lacks, each with its largest id.
 
-        Copies inside the batch are combined before the shuffle. The batch meets the index in a sort-merge anti-join
-        on the index's own buckets; the survivors are written back in the same buckets.
+        Copies inside the batch are combined and written before they meet the index, or the optimizer would shuffle every
+        copy to the join. The join is a sort-merge anti-join on the index's own buckets; the survivors are written back
+        in the same buckets.
         """
-        new = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
+        new = stored(batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id")), "digests-batch")
         fresh = new.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
         # the new rows are written aside first: a table can't be read and appended to in one step
         (
