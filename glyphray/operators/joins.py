@@ -4,35 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphray.functions.text import strip
 from glyphray.operators.chain import split_names
 
 
+def _pieces(text: Column, size: Column) -> Column:
+    """Hashes of all pieces of ``text`` of one size, each once."""
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(size, F.substring(text, i, size))))
+
+
+def _contained(names: DataFrame, texts: DataFrame, name: str, text: str) -> DataFrame:
+    """The names that some text contains.
+
+    Names and texts are cut into pieces of 1, 2, 4, ... characters: of a name those of the largest such size that it has,
+    which are over half of it, of a text those of all sizes that names need. A name meets the texts that have its rarest
+    piece, and only these pairs are compared. Work is linear in the length of texts, for each of the few sizes; what is
+    shuffled for a piece is two numbers.
+    """
+    given = names.filter(F.length(name) > 0).distinct()
+    sized = given.withColumn("__size", F.call_function("shiftleft", F.lit(1), F.length(F.bin(F.length(name))) - 1))
+    sizes = sized.agg(F.collect_set("__size").alias("__sizes"))  # at most one for each bit of a length
+    wanted = sized.select(name, F.explode(_pieces(F.col(name), F.col("__size"))).alias("__piece"))
+    whole = texts.filter(F.col(text).isNotNull()).distinct().withColumn("__text", F.xxhash64(text))
+    fitting = whole.join(F.broadcast(sizes), F.lit(True)).withColumn("__size", F.explode("__sizes"))
+    have = fitting.filter(F.col("__size") <= F.length(text)).select(
+        "__text", F.explode(_pieces(F.col(text), F.col("__size"))).alias("__piece"))
+    counts = have.groupBy("__piece").agg(F.count(F.lit(1)).alias("__n"))
+    rarest = F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__piece").alias("piece")))
+    anchors = wanted.join(counts, "__piece", "left").groupBy(name).agg(rarest.alias("__rarest")).filter("__rarest.n > 0")
+    pairs = anchors.select(name, F.col("__rarest.piece").alias("__piece")).join(have, "__piece").select(name, "__text")
+    return pairs.join(whole, "__text").filter(F.contains(text, name)).select(name)
+
+
 def stream_status(streams: DataFrame, containers: DataFrame, name: str = "stream",
                   container: str = "container", exact: bool = False) -> DataFrame:
     """Streams with ``status``: Running when any container text contains the stream name.
 
-    The substring test becomes an equality: each container yields its substrings of the lengths
-    stream names have, the two sides meet by hash, and no pair is ever formed that does not match.
-    Container texts are short names, which bounds the substrings. ``exact`` compares whole names.
+    A name that is empty or null is in no text. ``exact`` compares whole names.
     """
     if exact:
         found = containers.select(F.regexp_replace(container, ":.*$", "").alias(name))
     else:
-        sizes = streams.select(F.length(name).alias("n")).distinct()
-        lengths = sizes.agg(F.collect_set("n").alias("ns"))  # at most one entry per name length
-        n, text = F.col("n"), F.col(container)
-        found = (
-            containers.select(container).distinct()
-            .join(F.broadcast(lengths), F.lit(True))
-            .withColumn("n", F.explode("ns"))
-            .filter((n > 0) & (n <= F.length(text)))
-            .select(F.explode(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1),
-                                          lambda i: F.substring(text, i, n))).alias(name))
-        )
+        found = _contained(streams.select(name), containers.select(container), name, container)
     hits = found.distinct().withColumn("__hit", F.lit(True))
     joined = streams.join(hits, name, "left")
     return joined.withColumn("status", F.when(F.col("__hit"), "Running").otherwise("Stopped")).drop("__hit")
@@ -80,12 +97,6 @@ def with_state(candidates: DataFrame, known: DataFrame, keys: Sequence[str]) ->
     return candidates.join(seen, list(keys), "left").withColumn("state", state).drop("__seen")
 
 
-def split_new(candidates: DataFrame, known: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Candidates not known yet, and those already there."""
-    seen = known.select(*keys)
-    return candidates.join(seen, list(keys), "left_anti"), candidates.join(seen, list(keys), "left_semi")
-
-
 def complete_configs(candidates: DataFrame, known: DataFrame, name: str = "stream",
                      fields: Sequence[str] = ("input_map", "docker_script", "docker_map", "config_file")) -> DataFrame:
     """Stream configurations that may be saved: named, all fields filled, name not taken."""
