@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphray.functions.logs import entry, layout
@@ -19,17 +19,23 @@ def parse_logs(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``source, block, line_no, value``; ``(block, line_no)`` follows the order within a file.
+    """``source, block, line_no, value``; ``line_no`` counts the lines of a file from 0, however it is split.
 
-    Large files are read in splits: the split offset orders the splits, and an id that grows within
-    a task orders the lines of one split. No line counting, no single task per file.
+    Large files are read in splits. An id that grows within a task gives a line's place in its split, and one narrow
+    pass counts the lines of each split, whose running sums are the numbers at which splits begin. No single task per file.
     """
-    return spark.read.text(path).select(
+    raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("source"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line_no"),
+        F.monotonically_increasing_id().alias("__id"),
         "value",
     )
+    splits = raw.groupBy("source", "block").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__lines"))
+    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    begins = splits.withColumn("__begin", F.coalesce(F.sum("__lines").over(earlier), F.lit(0))).drop("__lines")
+    return raw.join(begins, ["source", "block"]).select(
+        "source", "block", (F.col("__begin") + F.col("__id") - F.col("__first")).alias("line_no"), "value"
+    )
 
 
 def attach_continuations(logs: DataFrame, source: str = "source", lines: int = LINES_PER_BLOCK) -> DataFrame:
