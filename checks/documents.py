@@ -34,7 +34,7 @@ def chain_black_white(spark, sf):
 SELECT image_id, 'tuned' AS used, 'three channels expected' AS error, y, x, CASE WHEN p > mean - 2 THEN 255 ELSE 0 END AS p FROM m""")
 def chain_first_error_stops(spark, sf):
     """The second module needs colour, finds gray and stops the chain; the first result stays."""
-    tuned = chain.Module("tuned", lambda im: packed.adaptive_threshold(packed.to_gray(im), 3, 2), chain._colour)
+    tuned = chain.from_kernel("tuned", lambda a: packed.adaptive_of(packed.gray_of(a), 3, 2))
     done = chain.apply_chain(packed_colour(spark, sf).drop("label"), [tuned, _BW, chain.REGISTRY["select_region"]])
     return _cells(done.withColumn("used", F.array_join("used", ",")))
 
@@ -60,7 +60,7 @@ def chain_select_region(spark, sf):
 SELECT image_id, 'tuned,select_region,convert_black_white' AS used, y, x, CASE WHEN p > mean - 2 THEN 255 ELSE 0 END AS p FROM m WHERE x < 5 AND y < 4""")
 def chain_select_after_module(spark, sf):
     """Selecting from a gray image turns the selection into colour, so a colour module may follow."""
-    tuned = chain.Module("tuned", lambda im: packed.adaptive_threshold(packed.to_gray(im), 3, 2), chain._colour)
+    tuned = chain.from_kernel("tuned", lambda a: packed.adaptive_of(packed.gray_of(a), 3, 2))
     modules = [tuned, chain.REGISTRY["select_region"].with_params(box=(0, 0, 5, 4)), _BW]
     done = chain.apply_chain(packed_colour(spark, sf).drop("label"), modules).drop("error")
     return _cells(done.withColumn("used", F.array_join("used", ",")))

@@ -122,6 +122,13 @@ def image_median_blur_packed(spark, sf):
     return packed.unpack_gray(done).select(*CELL, "p")
 
 
+@query("image_median_blur_large", _median_sql(49))
+def image_median_blur_large(spark, sf):
+    """The largest window of the configuration."""
+    done = packed_gray(spark, sf).select("image_id", packed.median_blur(F.col("image"), 49).alias("image"))
+    return packed.unpack_gray(done).select(*CELL, "p")
+
+
 _UPSCALE = f"""WITH {PX},
 taps AS (
   SELECT CAST(d AS INTEGER) AS d, least(greatest(CAST(floor((d + 0.5) / 2 - 0.5) AS INTEGER) - 1 + k, 0), 7) AS s,

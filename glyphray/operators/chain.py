@@ -1,25 +1,32 @@
 """Configured chains of image modules, and the hand-over to a text recogniser.
 
-A module maps an image column to an image column. What a failing module does to the rest of its
-chain is carried in the row (``image``, ``used``, ``error``), so one bad image never stops a job.
+A module maps an image column to an image column; one made by ``from_kernel`` maps arrays, and such modules in a row run
+in one call. What a failing module does to the rest of its chain is carried in the row (``image``, ``used``, ``error``),
+so one bad image never stops a job.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from dataclasses import dataclass, field
-from functools import reduce
+from dataclasses import dataclass, field, replace
+from functools import partial, reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from glyphray.functions.text import is_blank, strip
 from glyphray.operators import packed
 
 NO_MODULES = "Geen modules gebruikt"  # fixed value: report text for an empty chain
+# Why a module is not run.
 UNREADABLE = "image could not be loaded"
+DAMAGED = "damaged image"
+NOT_COLOUR = "three channels expected"
 
 
 @dataclass(frozen=True)
@@ -31,40 +38,42 @@ class Module:
     check: Callable[[Column], Column] | None = None
     enabled: bool = True
     params: dict = field(default_factory=dict)
+    kernel: Callable[..., np.ndarray | None] | None = None
+    colour: bool = False
 
     def with_params(self, **params) -> Module:
-        return Module(self.name, self.process, self.check, self.enabled, {**self.params, **params})
+        return replace(self, params={**self.params, **params})
 
 
 def _readable(img: Column) -> Column:
     """Null for an image whose bytes are all there."""
     fits = F.octet_length(img["data"]) == img["height"].cast("long") * img["width"] * img["channels"]
-    return F.when(img.isNull(), UNREADABLE).when(~F.coalesce(fits, F.lit(False)), "damaged image")
+    return F.when(img.isNull(), UNREADABLE).when(~F.coalesce(fits, F.lit(False)), DAMAGED)
 
 
 def _colour(img: Column) -> Column:
-    return F.coalesce(_readable(img), F.when(img["channels"] != 3, "three channels expected"))
+    return F.coalesce(_readable(img), F.when(img["channels"] != 3, NOT_COLOUR))
 
 
-def _select(img: Column, box: Sequence[int]) -> Column:
-    """A chosen box as a colour image; an empty choice gives no image."""
-    x, y, w, h = box
-    return packed.select_box(img, x, y, x + w, y + h)
+def from_kernel(name: str, kernel: Callable[..., np.ndarray | None], colour: bool = True) -> Module:
+    """A module out of ``kernel(stack, **params)``, where ``stack`` is ``(images, height, width, channels)`` bytes.
+
+    It gives the new stack, or None for no image. With ``colour`` it wants three channels.
+    """
+    process = lambda im, **params: packed.lift(partial(kernel, **params))(im)
+    return Module(name, process, _colour if colour else _readable, kernel=kernel, colour=colour)
 
 
 # Module names as configurations list them. One of them has no process and is skipped.
 REGISTRY: dict[str, Module] = {
     m.name: m
     for m in (
-        Module("convert_black_white", lambda im, level=127: packed.threshold(packed.to_gray(im), level), _colour),
-        Module("Medianblur", lambda im, k=3: packed.median_blur(packed.to_gray(im), k), _colour),
-        Module("upscaling", lambda im, scale_factor=2: packed.upscale(im, scale_factor), _colour),
-        Module("select_region", lambda im, box=(0, 0, 0, 0): _select(im, box), _readable),
-        Module(
-            "tuned_filter",
-            lambda im, block=3, c=2, v=1: packed.tuned_filter(im, block, c, v),
-            _colour,
-        ),
+        from_kernel("convert_black_white", lambda a, level=127: packed.above(packed.gray_of(a), level)),
+        from_kernel("Medianblur", lambda a, k=3: packed.median_of(packed.gray_of(a), k)),
+        from_kernel("upscaling", lambda a, scale_factor=2: packed.cubic_of(a, scale_factor)),
+        # a chosen box as a colour image; an empty choice gives no image
+        from_kernel("select_region", lambda a, box=(0, 0, 0, 0): packed.box_of(a, box[0], box[1], box[0] + box[2], box[1] + box[3]), False),
+        from_kernel("tuned_filter", lambda a, block=3, c=2, v=1: packed.adaptive_of(packed.gray_of(packed.gaussian_of(a, v)), block, c)),
         Module("adaptive_threshold", None),
     )
 }
@@ -87,11 +96,83 @@ def load_order(names: Iterable[str], registry: dict[str, Module] = REGISTRY) ->
     return found, dropped
 
 
+_DONE = pa.struct([("image", packed.ARROW), ("used", pa.list_(pa.string())), ("error", pa.string())])
+
+
+def _problem(pixels: np.ndarray | None, colour: bool) -> str | None:
+    """What ``_readable`` and ``_colour`` say, of pixels."""
+    if pixels is None:
+        return UNREADABLE
+    if not pixels.size:
+        return DAMAGED
+    return NOT_COLOUR if colour and pixels.shape[-1] != 3 else None
+
+
+def _attempt(module: Module, images: list[np.ndarray]) -> list[np.ndarray | str | None]:
+    """What a module makes of equally shaped images; where it fails, the reason. One that fails takes no other along."""
+    try:
+        done = module.kernel(np.stack(images), **module.params)
+        return [None] * len(images) if done is None else list(np.ascontiguousarray(done, dtype=np.uint8))
+    except Exception as e:
+        if len(images) > 1:
+            return [result for image in images for result in _attempt(module, [image])]
+        return [str(e) or type(e).__name__]
+
+
+def _run_all(modules: Sequence[Module], current: pa.Array, original: pa.Array, stopped: pa.Array | None) -> pa.Array:
+    """All modules on a batch, without leaving Python in between; images of one shape are worked on together."""
+    now = packed.pixels(current)
+    begin = now if original is current else packed.pixels(original)
+    now, used = list(now), [[] for _ in now]
+    error = [None] * len(now) if stopped is None else stopped.to_pylist()
+    for module in modules:
+        same: dict[tuple, list[int]] = {}
+        sources = [b if n is None else n for n, b in zip(now, begin)]
+        for i in [i for i, e in enumerate(error) if e is None]:
+            error[i] = _problem(sources[i], module.colour)
+            if error[i] is None:
+                same.setdefault(sources[i].shape, []).append(i)
+        for shape, at in same.items():
+            step = max(1, packed.STACK_BYTES // math.prod(shape))
+            for part in (at[k : k + step] for k in range(0, len(at), step)):
+                for i, result in zip(part, _attempt(module, [sources[i] for i in part])):
+                    if isinstance(result, str):
+                        error[i] = result
+                    else:
+                        now[i] = result
+                        used[i].append(module.name)
+    images = packed.to_arrow([n if u else None for n, u in zip(now, used)])
+    fields = [images, pa.array(used, _DONE.field("used").type), pa.array(error, pa.string())]
+    return pa.StructArray.from_arrays(fields, fields=list(_DONE))
+
+
+def _together(df: DataFrame, modules: Sequence[Module], img: str, first: bool) -> DataFrame:
+    """One call for several modules in a row. At the beginning of a chain an image is its own original."""
+
+    def begin(images: pa.Array) -> pa.Array:
+        return _run_all(modules, images, images, None)
+
+    def go_on(images: pa.Array, originals: pa.Array, errors: pa.Array) -> pa.Array:
+        return _run_all(modules, images, originals, errors)
+
+    run = packed.once(F.arrow_udf(begin if first else go_on, from_arrow_type(_DONE)))
+    done = run(F.col(img)) if first else run(F.col(img), F.col("__original"), F.col("error"))
+    ran = F.size("__done.used") > 0
+    return df.withColumn("__done", done).withColumns(
+        {
+            img: F.when(ran, F.col("__done.image")).otherwise(F.col(img)),
+            "used": F.concat("used", "__done.used"),
+            "error": F.coalesce("error", "__done.error"),
+        }
+    ).drop("__done")
+
+
 def apply_chain(images: DataFrame, modules: Sequence[Module], img: str = "image") -> DataFrame:
     """Fold the modules over ``img``; adds ``used array<string>`` and ``error string``.
 
     The first error, of a check or of the module itself, stops the chain of that image and keeps its partial result.
-    A module that yields no image without failing makes the next one start again from the original.
+    A module that yields no image without failing makes the next one start again from the original. Modules in a row that
+    have kernels go through Python once, all others once each.
     """
     state = images.withColumns(
         {
@@ -102,8 +183,6 @@ def apply_chain(images: DataFrame, modules: Sequence[Module], img: str = "image"
     )
 
     def step(df: DataFrame, module: Module) -> DataFrame:
-        if module.process is None:
-            return df
         source = F.coalesce(F.col(img), F.col("__original"))
         failure = module.check(source) if module.check else F.lit(None).cast("string")
         df = df.withColumn("__fail", F.when(F.col("error").isNull(), failure))
@@ -119,7 +198,11 @@ def apply_chain(images: DataFrame, modules: Sequence[Module], img: str = "image"
             }
         ).drop("__fail", "__done")
 
-    return reduce(step, modules, state).drop("__original")
+    begun = False
+    for arrays, run in groupby((m for m in modules if m.process is not None), lambda m: m.kernel is not None):
+        state = _together(state, list(run), img, not begun) if arrays else reduce(step, run, state)
+        begun = True
+    return state.drop("__original")
 
 
 def processed_or_original(images: DataFrame, modules: Sequence[Module], img: str = "image") -> DataFrame:

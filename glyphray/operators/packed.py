@@ -21,7 +21,7 @@ from glyphray.operators.pixels import gaussian_weights, odd_kernel
 from glyphray.session import bind
 
 IMAGE = "struct<height:int,width:int,channels:int,data:binary>"
-_ARROW = pa.struct(
+ARROW = pa.struct(
     [("height", pa.int32()), ("width", pa.int32()), ("channels", pa.int32()), ("data", pa.binary())]
 )
 
@@ -53,12 +53,12 @@ def _axis_sum(a: np.ndarray, weights: list[int], axis: int, mode: str) -> np.nda
     return total
 
 
-def _gray(a):
+def gray_of(a):
     b, g, r = (a[..., i].astype(np.int64) for i in range(3))
-    return ((299 * r + 587 * g + 114 * b + 500) // 1000)[..., None]
+    return ((299 * r + 587 * g + 114 * b + 500) // 1000)[..., None].astype(np.uint8)
 
 
-def _adaptive(a, block, c):
+def adaptive_of(a, block, c):
     k = block | 1
     a = a.astype(np.int64)
     s = a
@@ -68,15 +68,21 @@ def _adaptive(a, block, c):
     return np.where(a > mean - c, 255, 0)
 
 
-def _gaussian(a, v):
+def gaussian_of(a, v):
     s = a.astype(np.int64)
     for axis in (Y, X):
         s = _axis_sum(s, gaussian_weights(v), axis, "reflect" if s.shape[axis] > 1 else "edge")
     return (s + (1 << 31)) >> 32
 
 
-def _median(a, k):
+WIDEST_SORTED = 7  # windows up to this size are sorted, larger ones counted
+STRIP = 1024  # columns whose histograms are held at a time
+
+
+def median_of(a, k):
     k = odd_kernel(k)
+    if k > WIDEST_SORTED:
+        return _counted_median(a, k)
     r = k // 2
     pad = [(0, 0)] * a.ndim
     pad[Y] = pad[X] = (r, r)
@@ -89,6 +95,68 @@ def _median(a, k):
     return out
 
 
+def above(a, level):
+    return np.where(a > level, 255, 0)
+
+
+def box_of(a, x1, y1, x2, y2):
+    """A box clipped to the image, in colour; None when nothing is left."""
+    cut = a[..., max(y1, 0):max(y2, 0), max(x1, 0):max(x2, 0), :]
+    if 0 in cut.shape:
+        return None
+    return np.repeat(cut, 3, axis=C) if cut.shape[C] == 1 else cut
+
+
+def _counted_median(a, k):
+    """As ``median_of``, from a histogram per column that slides down the image: a pixel costs the same for every ``k``."""
+    planes = np.moveaxis(a, C, Y).reshape(-1, *a.shape[Y:C])
+    r, width = k // 2, a.shape[X]
+    wide = np.pad(planes, ((0, 0), (r, r), (r, r)), mode="edge")
+    out = np.empty_like(planes)
+    for left in range(0, width, STRIP):
+        right = min(left + STRIP, width)
+        step = max(1, STACK_BYTES // (1024 * (right - left + k)))  # four bytes for each of 256 values
+        for n in range(0, len(planes), step):
+            out[n : n + step, :, left:right] = _sliding_median(wide[n : n + step, :, left : right + 2 * r], k)
+    channels_first = out.reshape(*a.shape[:Y], a.shape[C], *a.shape[Y:C])
+    return np.moveaxis(channels_first, Y, C)
+
+
+def _sliding_median(wide: np.ndarray, k: int) -> np.ndarray:
+    """Medians of all windows inside ``(planes, height, width)``.
+
+    Differences of running sums over columns are the histograms of windows. The sixteen coarse counts of a window tell
+    where its median is, and only the sixteen values there are looked at.
+    """
+    planes, height, columns = wide.shape[0], wide.shape[1] - k + 1, wide.shape[2]
+    width = columns - k + 1
+    plane, column = np.ogrid[:planes, :columns]
+    fine, coarse = (np.zeros((planes, values, columns), np.int32) for values in (256, 16))
+    fine_sums, coarse_sums = (np.zeros((planes, values, columns + 1), np.int32) for values in (256, 16))
+    by_block = fine_sums.reshape(planes, 16, 16, columns + 1)
+
+    def count(line: int, by: int) -> None:
+        fine[plane, wide[:, line], column] += by
+        coarse[plane, wide[:, line] >> 4, column] += by
+
+    for line in range(k - 1):
+        count(line, 1)
+    out = np.empty((planes, height, width), np.uint8)
+    starts, middle = column[:, :width], k * k // 2 + 1
+    for y in range(height):
+        count(y + k - 1, 1)
+        np.cumsum(coarse, axis=2, out=coarse_sums[..., 1:])
+        np.cumsum(fine, axis=2, out=fine_sums[..., 1:])
+        up_to = np.cumsum(coarse_sums[..., k:] - coarse_sums[..., :width], axis=1)
+        before = up_to < middle
+        block = before.sum(axis=1)
+        left = middle - np.max(up_to * before, axis=1)
+        inside = np.cumsum(by_block[plane, block, :, starts + k] - by_block[plane, block, :, starts], axis=-1)
+        out[:, y] = 16 * block + (inside < left[..., None]).sum(axis=-1)
+        count(y, -1)
+    return out
+
+
 def _cubic_axis(a, factor, axis):
     n = a.shape[axis]
     out = np.arange(int(n * factor))
@@ -106,7 +174,7 @@ def _cubic_axis(a, factor, axis):
     )
 
 
-def _cubic(a, factor):
+def cubic_of(a, factor):
     s = _cubic_axis(_cubic_axis(a.astype(np.int64), factor, X), factor, Y)
     return np.clip((s + (1 << 15)) >> 16, 0, 255)
 
@@ -141,7 +209,25 @@ def _stacks(images: pa.Array, channels: int | None):
             yield part, np.frombuffer(joined, np.uint8).reshape(len(part), *shape)
 
 
-def _lift(kernel, channels: int | None = None):
+def pixels(images: pa.Array) -> list[np.ndarray | None]:
+    """Pixels of each image: None for no image, nothing (size 0) where the bytes do not fit the size."""
+    sizes = zip(*(images.field(f).to_pylist() for f in ("height", "width", "channels")))
+    out: list[np.ndarray | None] = []
+    for valid, shape, data in zip(images.is_valid().to_pylist(), sizes, images.field("data")):
+        flat = np.frombuffer(data.as_buffer(), np.uint8) if valid and data.is_valid else np.empty(0, np.uint8)
+        fits = None not in shape and flat.size == math.prod(shape)
+        out.append((flat.reshape(shape) if fits else flat[:0]) if valid else None)
+    return out
+
+
+def to_arrow(images: list[np.ndarray | None]) -> pa.Array:
+    sizes = [(None,) * 3 if a is None else a.shape for a in images]
+    fields = [pa.array([s[i] for s in sizes], pa.int32()) for i in range(3)]
+    fields.append(pa.array([None if a is None else a.tobytes() for a in images], pa.binary()))
+    return pa.StructArray.from_arrays(fields, fields=list(ARROW), mask=pa.array([a is None for a in images], pa.bool_()))
+
+
+def lift(kernel, channels: int | None = None):
     """Arrow scalar function around a kernel; null for null, wrong channel count or damaged images.
 
     Images on which the kernel fails become ``failure`` values, and these pass through later kernels.
@@ -167,7 +253,7 @@ def _lift(kernel, channels: int | None = None):
             height, width, depth = done.shape[1:]
             for i, a in zip(at, done):
                 out[i] = {"height": height, "width": width, "channels": depth, "data": a.tobytes()}
-        return pa.array(out, _ARROW)
+        return pa.array(out, ARROW)
 
     run.__annotations__ = {"images": pa.Array, "return": pa.Array}
     return once(F.arrow_udf(run, IMAGE))
@@ -180,11 +266,11 @@ def failure(img: Column) -> Column:
 
 
 def to_gray(img: Column) -> Column:
-    return _lift(_gray, 3)(img)
+    return lift(gray_of, 3)(img)
 
 
 def to_rgb(img: Column) -> Column:
-    return _lift(lambda a: np.repeat(a, 3, axis=C), 1)(img)
+    return lift(lambda a: np.repeat(a, 3, axis=C), 1)(img)
 
 
 def interleave(img: Column) -> Column:
@@ -194,44 +280,37 @@ def interleave(img: Column) -> Column:
         n, height, width, depth = a.shape
         return a.reshape(n, depth, height, width).transpose(0, 2, 3, 1)
 
-    return _lift(kernel, 3)(img)
+    return lift(kernel, 3)(img)
 
 
 def flip_channels(img: Column) -> Column:
     """Blue-first to red-first or back."""
-    return _lift(lambda a: a[..., ::-1], 3)(img)
+    return lift(lambda a: a[..., ::-1], 3)(img)
 
 
 def threshold(img: Column, level: int = 127) -> Column:
-    return _lift(lambda a: np.where(a > level, 255, 0))(img)
+    return lift(lambda a: above(a, level))(img)
 
 
 def adaptive_threshold(img: Column, block: int = 3, c: int = 2) -> Column:
-    return _lift(lambda a: _adaptive(a, block, c))(img)
+    return lift(lambda a: adaptive_of(a, block, c))(img)
 
 
 def gaussian_blur(img: Column, v: int = 1) -> Column:
-    return _lift(lambda a: _gaussian(a, v))(img)
+    return lift(lambda a: gaussian_of(a, v))(img)
 
 
 def median_blur(img: Column, k: int = 3) -> Column:
-    return _lift(lambda a: _median(a, k))(img)
+    return lift(lambda a: median_of(a, k))(img)
 
 
 def upscale(img: Column, factor: float = 2) -> Column:
-    return _lift(lambda a: _cubic(a, factor))(img)
+    return lift(lambda a: cubic_of(a, factor))(img)
 
 
 def select_box(img: Column, x1: int, y1: int, x2: int, y2: int) -> Column:
     """A fixed box, clipped to the image, as a colour image; null when nothing is left."""
-
-    def kernel(a):
-        cut = a[..., max(y1, 0):max(y2, 0), max(x1, 0):max(x2, 0), :]
-        if 0 in cut.shape:
-            return None
-        return np.repeat(cut, 3, axis=C) if cut.shape[C] == 1 else cut
-
-    return _lift(kernel)(img)
+    return lift(lambda a: box_of(a, x1, y1, x2, y2))(img)
 
 
 def tuned_filter(img: Column, block: int = 3, c: int = 2, v: int = 1) -> Column:

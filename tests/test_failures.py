@@ -20,7 +20,7 @@ def boom(a):
 
 
 def test_a_failing_module_stops_its_chain_and_says_why(spark):
-    failing = Module("failing", lambda im: packed.threshold(packed._lift(boom)(packed.to_gray(im))))
+    failing = Module("failing", lambda im: packed.threshold(packed.lift(boom)(packed.to_gray(im))))
     modules = [Module("flip", lambda im: packed.flip_channels(im)), failing, Module("after", lambda im: packed.threshold(im))]
     got = {r.image_id: r for r in chain.apply_chain(images(spark), modules).collect()}
     assert got[1].used == ["flip"] and got[1].error == "no such luck" and got[1].image["data"] == bytearray([2] * 12)
