@@ -1,4 +1,4 @@
-"""Modules in a row as one call, medians by counting, names inside texts, line numbers."""
+"""Modules in a row as one call, medians by counting, names inside texts, line numbers, headers with repeated labels."""
 
 import numpy as np
 import pytest
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import documents
 from glyphray.operators import chain, joins, packed
 from glyphray.operators.chain import Module
+from glyphray.plans.headers import _document
 from glyphray.sources import logs
 from tests.test_failures import boom, images, plan
 
@@ -97,3 +98,16 @@ def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
             assert found.filter(F.split("value", " ")[1].cast("long") != F.col("line_no")).isEmpty()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_documents_of_many_tags_keep_the_last_of_a_label(spark):
+    tag = F.struct(
+        F.when(F.col("id") % 7 == 3, 1).otherwise(0).alias("depth"), F.concat(F.lit("(0011,"), F.col("id") % 4000, F.lit(")")).alias("tag"),
+        F.lit("x").alias("name"), F.when(F.col("id") % 5 > 0, F.col("id").cast("string")).alias("value"), F.col("id"))
+    tags = spark.range(6000).agg(F.sort_array(F.collect_list(F.struct("id", tag.alias("t"))))["t"].alias("tags"))
+    got = [tuple(e) for e in tags.select(F.map_entries(_document(F.col("tags"))).alias("d")).first().d]
+    want = {}
+    for i in (i for i in range(6000) if i % 7 != 3):
+        want.pop(f"(0011,{i % 4000}) x", None)
+        want[f"(0011,{i % 4000}) x"] = str(i) if i % 5 else None
+    assert got[:2] == [("PatientName", "UNKNOWN"), ("PatientID", "UNKNOWN")] and got[2:] == list(want.items())
