@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -76,3 +77,17 @@ def with_fields(df: DataFrame, record: Column) -> DataFrame:
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value worked out once, however often ``use`` mentions it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def built_once(build: Callable[[], Column]) -> Callable[[], Column]:
+    """Keep an expression that takes long to put together for as long as its Spark context lives."""
+    kept: list = [None, None]
+
+    @functools.wraps(build)
+    def column() -> Column:
+        context = SparkSession.active().sparkContext
+        if kept[0] is not context:
+            kept[:] = context, build()
+        return kept[1]
+
+    return column
