@@ -94,7 +94,8 @@ def order_files(spark, sf: str) -> DataFrame:
     def whole(explicit: bool, syntax: str) -> Column:
         return dicom_file(body(explicit), syntax)
 
-    orders = table(spark, sf, "orders").repartition("o_orderkey")
+    # with a number, or small inputs end in one task
+    orders = table(spark, sf, "orders").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
     kinds = F.when(key % 50 == 11, whole(True, dicom.BIG)).when(key % 2 == 0, whole(True, EXPLICIT)).otherwise(whole(False, IMPLICIT))
     content = F.when(key % 50 == 7, F.substring("whole", 1, 260)).when(key % 50 == 9, F.lit(b"no header here")).otherwise(F.col("whole"))
     return orders.withColumn("whole", kinds).select(F.col("o_orderkey").alias("path"), content.alias("content"))
