@@ -206,7 +206,7 @@ def report_findings(spark, sf):
 
 
 @query("first_concept", """
-SELECT l_orderkey, min_by(l_linenumber || ':' || l_partkey, l_linenumber * 10000000 + l_partkey * 1000 + l_suppkey) AS first_item FROM lineitem GROUP BY 1""")
+SELECT l_orderkey, min_by(l_linenumber || ':' || l_partkey, row(l_linenumber, l_partkey, l_suppkey)) AS first_item FROM lineitem GROUP BY 1""")
 def first_concept(spark, sf):
     line = table(spark, sf, "lineitem").withColumn("o", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
     return reports.first_item(line, "l_orderkey", "o", F.concat_ws(":", "l_linenumber", "l_partkey"))
