@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,13 +108,16 @@ def registry_lines(nodes: DataFrame) -> DataFrame:
     return nodes.select(node_line(*[F.col(c) for c in ("label", "path", "status", "pid")]).alias("value"))
 
 
-def write_lines(lines: DataFrame, path: str, order: list[str | Column], line: str = "line") -> None:
+def write_lines(
+    lines: DataFrame, path: str, order: list[str | Column], line: str = "line", within: Sequence[str | Column] = ()
+) -> None:
     """Text output in order: range partitioning keeps files sorted among and within themselves.
 
-    Finding the ranges samples the input first; behind a recogniser, store the lines
+    Lines that are equal in ``order`` share a file, sorted by ``within``: what must not be torn apart (an entry and the
+    lines that continue it) goes there. Finding the ranges samples the input first; behind a recogniser, store the lines
     (``append_report``) and render them from there.
     """
     (
-        lines.repartitionByRange(*order).sortWithinPartitions(*order)
+        lines.repartitionByRange(*order).sortWithinPartitions(*order, *within)
         .select(F.col(line).alias("value")).write.mode("overwrite").text(path)
     )

@@ -1,8 +1,10 @@
 """Rules of queries on tables that the smallest scale does not hold."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from glyphray.sources import logs, sinks
 from tests.oracle import compare
 
 
@@ -15,3 +17,17 @@ def test_first_concept_with_large_part_keys(spark, tmp_path):
     found = entry.queries()["first_concept"](spark, str(tmp_path))
     assert {tuple(r) for r in found.collect()} == {(1, "1:20000"), (2, "3:5")}
     assert compare(found, con, entry.oracle_sql()["first_concept"]) == []
+
+
+def test_entries_and_their_continuations_share_a_file(spark, tmp_path):
+    lines = spark.range(40).select("id", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("n")).withColumn(
+        "line", F.when(F.col("n") == 0, F.format_string("[2025-01-01 00:00:%02d] entry", "id")).otherwise("more"))
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_lines(lines, str(tmp_path / "o"), ["id"], within=["n"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    assert len(list((tmp_path / "o").glob("part-*"))) > 1
+    found = logs.attach_continuations(logs.parse_logs(logs.read_log_lines(spark, str(tmp_path / "o"))))
+    assert {r["n"] for r in found.groupBy("entry_ts").agg(F.count(F.lit(1)).alias("n")).collect()} == {21}
