@@ -17,12 +17,17 @@ from glyphray.sources.files import MAGIC, MAGIC_OFFSET
 PAGE = 1 << 14
 
 
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a path or address, and the path in it."""
+    path = path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 class Ranged:
     """A file as bytes: slices fetch the pages they touch, which are kept. ``fetched`` counts the bytes."""
 
     def __init__(self, path: str):
-        path = path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
-        system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        system, inner = located(path)
         self.file = system.open_input_file(inner)
         self.size, self.pages, self.fetched = self.file.size(), {}, 0
 

@@ -1,9 +1,16 @@
-"""Writers. Everything goes through Spark's own committers, so a lost executor leaves no debris."""
+"""Writers. Tables go through Spark's own committers, so a lost executor leaves no debris.
+
+Single files (``write_files``) are written by the tasks under a hidden name and moved to their own: what a lost task leaves
+is hidden, and its repetition writes the same files again.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import posixpath
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +19,7 @@ from glyphray.functions.roi import render_roi
 from glyphray.operators.headers import latest_per_key
 from glyphray.operators.runs import block, numbered
 from glyphray.sources.nodes import node_line
+from glyphray.sources.ranges import located
 
 
 def write_header_json(headers: DataFrame, path: str, buckets: int = 256) -> None:
@@ -29,6 +37,34 @@ def write_header_json(headers: DataFrame, path: str, buckets: int = 256) -> None
     )
 
 
+def write_files(files: DataFrame, path: str, name: str = "name", content: str = "content") -> int:
+    """One file per row, ``name`` (may hold folders) below ``path``; null content gives an empty file. Returns their number.
+
+    Names must differ: of equal ones any file stays. Rows are dealt by name into as many tasks as the cluster has cores, as
+    small tables come as one partition. Spark's committers would move every file twice, the second time on the driver.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = located(path)
+        made: set[str] = set()
+        for batch in batches:
+            for own, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                file = posixpath.join(root, own)
+                folder = posixpath.dirname(file)
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                hidden = posixpath.join(folder, f".{uuid.uuid4().hex}")
+                with store.open_output_stream(hidden) as out:
+                    if data.is_valid:
+                        out.write(data.as_buffer())
+                store.move(hidden, file)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    dealt = files.select(F.col(name).cast("string").alias("name"), F.col(content).cast("binary").alias("content")).repartition(
+        files.sparkSession.sparkContext.defaultParallelism, "name")
+    return dealt.mapInArrow(write, "n bigint").agg(F.sum("n").alias("n")).first().n or 0
+
+
 def write_slices(slices: DataFrame, path: str) -> None:
     """Packed slices with the name the image file would carry."""
     named = slices.withColumn("image_name", slice_name(F.col("sop_uid"), F.col("slice_no")))

@@ -31,3 +31,14 @@ def test_entries_and_their_continuations_share_a_file(spark, tmp_path):
     assert len(list((tmp_path / "o").glob("part-*"))) > 1
     found = logs.attach_continuations(logs.parse_logs(logs.read_log_lines(spark, str(tmp_path / "o"))))
     assert {r["n"] for r in found.groupBy("entry_ts").agg(F.count(F.lit(1)).alias("n")).collect()} == {21}
+
+
+def test_single_files_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(200).coalesce(1).select(
+        F.concat(F.lit("a="), F.col("id") % 2, F.lit("/"), "id", F.lit(".dcm")).alias("name"),
+        F.when(F.col("id") > 0, F.encode(F.concat(F.lit("é\n\0"), "id"), "UTF-8")).alias("content"))
+    for _ in range(2):  # a repetition writes the same files
+        assert sinks.write_files(rows, f"file://{tmp_path}/o") == 200
+    found = {str(p.relative_to(tmp_path / "o")): p.read_bytes() for p in (tmp_path / "o").rglob("*") if p.is_file()}
+    assert found == {f"a={i % 2}/{i}.dcm": f"é\n\0{i}".encode() if i else b"" for i in range(200)}
+    assert sinks.write_files(rows.limit(0), f"{tmp_path}/none") == 0
