@@ -1,10 +1,12 @@
 """Rules of queries on tables that the smallest scale does not hold."""
 
+import time
+
 import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from glyphray.sources import logs, sinks
+from glyphray.sources import ini, logs, sinks
 from tests.oracle import compare
 
 
@@ -42,3 +44,14 @@ def test_single_files_are_written_by_many_tasks(spark, tmp_path):
     found = {str(p.relative_to(tmp_path / "o")): p.read_bytes() for p in (tmp_path / "o").rglob("*") if p.is_file()}
     assert found == {f"a={i % 2}/{i}.dcm": f"é\n\0{i}".encode() if i else b"" for i in range(200)}
     assert sinks.write_files(rows.limit(0), f"{tmp_path}/none") == 0
+
+
+def test_large_configuration_files(spark):
+    """Twenty times as many lines took four hundred times as long."""
+    many = "\n".join(["  [late]", " a = 1", "  more", "[big]"] + [f"Key{i} = {i}" for i in range(60_000)] + ["  tail", "[end]", " odd", "last"])
+    texts = spark.createDataFrame([("one", many), ("two", "# only\n[empty]\n"), ("none", None)], "source string, content string")
+    start = time.time()
+    rows = {r["ord"]: r for r in ini.read_ini(texts).collect()}
+    assert time.time() - start < 60 and len(rows) == 60_002
+    assert tuple(rows[0]) == ("one", 0, "late", "a", "1\nmore") and tuple(rows[1]) == ("one", 1, "big", "key0", "0")
+    assert rows[60_000]["value"] == "59999\ntail\nodd" and tuple(rows[60_001])[2:] == ("end", None, "last")
