@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from glyphray.operators import crop
 from glyphray.sources import ini, logs, sinks
 from tests.oracle import compare
 
@@ -55,3 +56,20 @@ def test_large_configuration_files(spark):
     assert time.time() - start < 60 and len(rows) == 60_002
     assert tuple(rows[0]) == ("one", 0, "late", "a", "1\nmore") and tuple(rows[1]) == ("one", 1, "big", "key0", "0")
     assert rows[60_000]["value"] == "59999\ntail\nodd" and tuple(rows[60_001])[2:] == ("end", None, "last")
+
+
+def test_figures_of_regions_that_share_boxes(spark, monkeypatch):
+    pixels = spark.range(3).select("id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i")).select(
+        "id", (F.col("i") / 4).cast("int").alias("y"), (F.col("i") % 4).alias("x"), F.col("i").alias("p"))
+    boxes = [(f"r{i % 7}", i % 3, i % 2, i % 3 + 2, i % 2 + 2) for i in range(40)]
+    rois = spark.createDataFrame(boxes, "roi string, x1 int, y1 int, x2 int, y2 int")
+    inside = crop.pixels_in_rois(pixels, rois, tile=2).groupBy("id", "roi").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("total"))
+    wanted = sorted(tuple(r) for r in inside.collect())
+    assert len(wanted) == 21
+    for small in (crop.SMALL, 500):  # in one piece, in several
+        monkeypatch.setattr(crop, "SMALL", small)
+        found = crop.roi_figures(pixels, rois, "id", "roi", "p", tile=2)
+        assert sorted(tuple(r) for r in found.collect()) == wanted
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" in plan and "roi" not in "".join(
+        line for line in plan.splitlines() if "Exchange hashpartitioning(id" in line).split("]")[0]
