@@ -3,11 +3,12 @@
 import time
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from glyphray.operators import crop
-from glyphray.sources import ini, logs, sinks
+from glyphray.sources import dicom, ini, logs, sinks
 from tests.oracle import compare
 
 
@@ -73,3 +74,14 @@ def test_figures_of_regions_that_share_boxes(spark, monkeypatch):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(id" in plan and "roi" not in "".join(
         line for line in plan.splitlines() if "Exchange hashpartitioning(id" in line).split("]")[0]
+
+
+def test_only_sequences_and_their_items_are_nested():
+    row = lambda at, path, order, label, value, items: dict(
+        at=at, item_path=path, ord=order, label=label, value=value, items=items)
+    first = [row(4, [], 4, "S", None, 1), row(5, [4, 0], 0, "A", "x", None), row(6, [4, 0], 1, "T", None, 0)]
+    files = pa.array([[row(9, [], 0, "U", None, 0)], None, first, None])
+    patient = '"PatientName": "UNKNOWN", "PatientID": "UNKNOWN"'
+    wanted = [[None] * 4 + ['[{%s, "A": "x", "T": []}]' % patient, None, "[]"], None]
+    assert dicom._nest(files.slice(2)).to_pylist() == wanted
+    assert dicom._nest(files).to_pylist() == [[None] * 9 + ["[]"], None, *wanted]
