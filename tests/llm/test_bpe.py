@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -49,6 +50,33 @@ def test_small_bounds_change_nothing(library):
         assert small.encode(text or "") == library.encode_ordinary(text or "")
 
 
+def test_new_words_side_by_side(library):
+    """Answers are those of the library, and words that occur once leave no states behind."""
+    draw = random.Random(7)
+    fresh = bpe.Encoder(bpe.load_ranks(PATH), public_tokenizers.PATTERN, max_pieces=20_000)
+    word = lambda: "".join(draw.choice("etaoinshrdluéñ漢") for _ in range(draw.randint(1, 30)))
+    texts = [" ".join(word() for _ in range(300)) for _ in range(100)]
+    texts[3:3] = [None, "", "a" * 500, " ".join(word() for _ in range(30_000)), *plain.HARD]
+    assert list(fresh.encode_all(texts)) == [library.encode_ordinary(t or "") for t in texts]
+    assert len(fresh.machine.walks) < 20_000
+    assert len(fresh.machine.pairs) < 20_000
+
+
+def test_walks_agree_with_states(encoder):
+    draw = random.Random(8)
+    pieces = ["".join(draw.choice(PARTS) for _ in range(5)).encode()[:bpe.SHORT] for _ in range(3000)]
+    pieces = [p for p in pieces if p]
+    assert [list(ids) for ids in encoder.machine.encode_side_by_side(pieces)] == [encoder.machine.encode(p) for p in pieces]
+    assert encoder.machine.encode_side_by_side([]) == []
+
+
+def test_fixed_map():
+    given = {k * k: k for k in range(0, 3000, 3)}
+    keys = range(0, 100_000)
+    assert bpe.FixedMap(given).get(np.array(keys)).tolist() == [given.get(k, -1) for k in keys]
+    assert bpe.FixedMap({}).get(np.array([0, 5])).tolist() == [-1, -1]
+
+
 def test_pair_rule_is_merging(encoder):
     machine, draw = encoder.machine, random.Random(5)
     tokens = [t for t in machine.tokens if len(machine.tokens[t]) < 12]
