@@ -23,6 +23,8 @@ SWITCH = 12.0
 # A language is a candidate for a script that makes up at least this share of its words.
 SCRIPT_SHARE = 0.01
 SMOOTHING = 0.3
+# Bytes of texts that are looked at together: every one of them takes about 50 bytes of arrays meanwhile.
+RUN = 1 << 17
 
 # First code points of ranges and the script that starts there ("" is no script in particular).
 SCRIPT_RANGES = (
@@ -118,7 +120,7 @@ def train(labelled: DataFrame, max_training: int = MAX_TRAINING) -> Model:
         for batch in batches:
             names = batch.column("lang").to_pylist()
             data, offsets = textops.buffers(batch.column("text"))
-            for i, j in textops.runs_of_texts(offsets):
+            for i, j in textops.runs_of_texts(offsets, RUN):
                 w = _words(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                 used = w.plain != 0x20
                 used[w.ends] = True
@@ -222,7 +224,7 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
         m = shared.value
         for batch in batches:
             data, offsets = textops.buffers(batch.column("text"))
-            for i, j in textops.runs_of_texts(offsets):
+            for i, j in textops.runs_of_texts(offsets, RUN):
                 part = batch.slice(i, j - i)
                 preds, scores, spans = _predict(m, data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], switch)
                 yield pa.RecordBatch.from_arrays(

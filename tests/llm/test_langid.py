@@ -96,3 +96,19 @@ def test_nothing_to_learn_from(spark):
 def test_sample_bound(spark):
     rows = spark.createDataFrame([(i, f"word{i} the", "en" if i % 2 else "de") for i in range(2000)], "doc_id long, text string, lang string")
     assert langid.train(rows, max_training=100).langs == ["de", "en"]
+
+
+def test_memory_follows_the_run_not_the_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    m = langid.Model(["a", "b"], rng.normal(size=(langid.BUCKETS, 2)).astype(np.float32), np.ones((len(langid.SCRIPTS), 2), bool))
+    data, offsets = textops.buffers(pa.array(["some words of a text " * 100] * 1500))
+    tracemalloc.start()
+    for i, j in textops.runs_of_texts(offsets, langid.RUN):
+        langid._predict(m, data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], 1e9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
