@@ -107,9 +107,10 @@ def join_lineage(spark, sf):
     )
     image = names.slice_name(uid, F.col("l_linenumber"))
     label = F.concat(F.lit("roi"), F.col("l_suppkey") % 4)
+    # the parts of each name are worked out once, by generated code
     named = lambda df, name: with_fields(
-        with_fields(df, F.struct(name.alias("name"))).select("name"), names.lineage(F.col("name"))
-    )
+        df, F.struct(names.lineage_parts(name).alias("parts"))
+    ).select(names.lineage_record(F.col("parts")).alias("read")).select("read.*")
     slices = named(line, image).select("uid", "slice_no").distinct()
     crops = named(line, names.crop_name(image, label)).groupBy("uid", "slice_no", "label").agg(
         F.count(F.lit(1)).alias("pieces")

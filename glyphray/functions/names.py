@@ -34,17 +34,22 @@ def report_name(image: Column) -> Column:
 
 def lineage(name: Column) -> Column:
     """Instance, slice number and optional region label read back from a file name."""
+    return bind(lineage_parts(name), lineage_record)
 
-    def record(parts: Column) -> Column:
-        known = F.size(parts) == 3
-        return F.struct(
-            F.when(known, F.get(parts, F.lit(0))).alias("uid"),
-            F.get(parts, F.lit(1)).try_cast("int").alias("slice_no"),
-            F.nullif(F.get(parts, F.lit(2)), F.lit("")).alias("label"),
-        )
 
-    # one match per name; a name that does not fit stays in one piece
-    return bind(F.split(F.regexp_replace(name, LINEAGE, "$1\u0001$2\u0001$3"), "\u0001", -1), record)
+def lineage_parts(name: Column) -> Column:
+    """The three parts of a file name as texts; a name that does not fit stays in one piece. One match per name."""
+    return F.split(F.regexp_replace(name, LINEAGE, "$1\u0001$2\u0001$3"), "\u0001", -1)
+
+
+def lineage_record(parts: Column) -> Column:
+    """``lineage`` from a column that holds the parts; it mentions them often, so they should be worked out before."""
+    known = F.size(parts) == 3
+    return F.struct(
+        F.when(known, F.get(parts, F.lit(0))).alias("uid"),
+        F.get(parts, F.lit(1)).try_cast("int").alias("slice_no"),
+        F.nullif(F.get(parts, F.lit(2)), F.lit("")).alias("label"),
+    )
 
 
 def instance_uid(key: Column) -> Column:

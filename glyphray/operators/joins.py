@@ -109,9 +109,13 @@ def complete_configs(candidates: DataFrame, known: DataFrame, name: str = "strea
 
 def join_lineage(headers: DataFrame, slices: DataFrame, crops: DataFrame, texts: DataFrame,
                  uid: str = "uid") -> DataFrame:
-    """Header, slice, crop and text rows of one instance on their shared identifiers."""
-    return (
-        headers.join(slices, uid)
-        .join(crops, [uid, "slice_no"])
-        .join(texts, [uid, "slice_no", "label"], "left")
-    )
+    """Header, slice, crop and text rows of one instance on their shared identifiers.
+
+    The longest keys are joined first: crops and texts that were grouped by them need no further shuffle, and rows go from
+    one key to the next once each.
+    """
+    cut, region = [uid, "slice_no"], [uid, "slice_no", "label"]
+    rest = [c for df, keys in ((headers, [uid]), (slices, cut), (crops, region), (texts, region))
+            for c in df.columns if c not in keys]
+    joined = crops.join(texts, region, "left").join(slices, cut).join(headers, uid)
+    return joined.select(*region, *rest)

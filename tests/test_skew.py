@@ -107,3 +107,38 @@ def test_missing_pids_do_not_match(spark):
     alive = {r["label"]: r["alive"] for r in joins.node_liveness(nodes, live).collect()}
     assert alive == {"n1": False, "n2": True, "n3": True, "n4": False}
     assert sorted(r["label"] for r in joins.startable_nodes(nodes, live).collect()) == ["n1", "n4"]
+
+
+def _instances(spark):
+    rng = random.Random(9)
+    uid = lambda: rng.choice(["hot", "hot", "a", "b", "c", None])
+    number, label = lambda: rng.choice([1, 2, None]), lambda: rng.choice(["r1", "r2", None])
+    headers = spark.createDataFrame([(uid(), f"h{i}") for i in range(6)], "uid string, modality string")
+    slices = spark.createDataFrame([(f"s{i}", uid(), number()) for i in range(12)], "shape string, uid string, slice_no int")
+    crops = spark.createDataFrame([(uid(), number(), label(), i) for i in range(40)], "uid string, slice_no int, label string, pieces long")
+    texts = spark.createDataFrame([(uid(), number(), label(), f"t{i}") for i in range(40)], "uid string, slice_no int, label string, text string")
+    return headers, slices, crops, texts
+
+
+def test_lineage_equals_joins_in_plain_order(spark):
+    headers, slices, crops, texts = _instances(spark)
+    cut, region = ["uid", "slice_no"], ["uid", "slice_no", "label"]
+    want = headers.join(slices, "uid").join(crops, cut).join(texts, region, "left")
+    got = joins.join_lineage(headers, slices, crops, texts)
+    assert got.columns == want.columns
+    key = lambda row: tuple(str(v) for v in row)
+    rows = sorted(map(tuple, got.collect()), key=key)
+    assert rows == sorted(map(tuple, want.collect()), key=key) and len(rows) > 30
+
+
+def test_lineage_moves_rows_once_for_each_key(spark):
+    headers, slices, crops, texts = _instances(spark)
+    cut, region = ["uid", "slice_no"], ["uid", "slice_no", "label"]
+    inputs = headers, slices.select(*cut).distinct(), crops.groupBy(region).count(), texts.select(*region).distinct()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = joins.join_lineage(*inputs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 5, plan
