@@ -38,7 +38,8 @@ def image(height, width, channels, data) -> Column:
 # --- kernels: (..., height, width, channels) uint8 -> array of the same kind ---------------------
 
 Y, X, C = -3, -2, -1
-STACK_BYTES = 1 << 22  # images of one shape are worked on together up to this size
+STACK_BYTES = 1 << 18  # images of one shape are worked on together up to this size; kernels hold many times as much
+COUNT_BYTES = 1 << 22  # histograms of medians that are held at a time
 
 
 def _axis_sum(a: np.ndarray, weights: list[int], axis: int, mode: str) -> np.ndarray:
@@ -48,8 +49,10 @@ def _axis_sum(a: np.ndarray, weights: list[int], axis: int, mode: str) -> np.nda
     pad[axis] = (r, r)
     wide = np.pad(a, pad, mode=mode)
     total = np.zeros_like(a)
+    at = [slice(None)] * a.ndim
     for i, w in enumerate(weights):
-        total += w * np.take(wide, range(i, i + n), axis=axis)
+        at[axis] = slice(i, i + n)
+        total += w * wide[tuple(at)]
     return total
 
 
@@ -115,7 +118,7 @@ def _counted_median(a, k):
     out = np.empty_like(planes)
     for left in range(0, width, STRIP):
         right = min(left + STRIP, width)
-        step = max(1, STACK_BYTES // (1024 * (right - left + k)))  # four bytes for each of 256 values
+        step = max(1, COUNT_BYTES // (1024 * (right - left + k)))  # four bytes for each of 256 values
         for n in range(0, len(planes), step):
             out[n : n + step, :, left:right] = _sliding_median(wide[n : n + step, :, left : right + 2 * r], k)
     channels_first = out.reshape(*a.shape[:Y], a.shape[C], *a.shape[Y:C])

@@ -111,3 +111,18 @@ def test_documents_of_many_tags_keep_the_last_of_a_label(spark):
         want.pop(f"(0011,{i % 4000}) x", None)
         want[f"(0011,{i % 4000}) x"] = str(i) if i % 5 else None
     assert got[:2] == [("PatientName", "UNKNOWN"), ("PatientID", "UNKNOWN")] and got[2:] == list(want.items())
+
+
+def test_blur_holds_a_bounded_part_of_a_batch():
+    import tracemalloc
+
+    images = packed.to_arrow([np.full((8, 8, 1), i % 256, np.uint8) for i in range(40_000)])
+    tracemalloc.start()
+    seen = 0
+    for at, stack in packed._stacks(images, 1):
+        assert (packed.gaussian_of(stack, 15) == stack).all()
+        seen += len(at)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == 40_000
+    assert peak < 50e6, peak
