@@ -1,5 +1,6 @@
 """Rules of queries on tables that the smallest scale does not hold."""
 
+import re
 import time
 
 import duckdb
@@ -76,6 +77,25 @@ def test_figures_of_regions_that_share_boxes(spark, monkeypatch):
         line for line in plan.splitlines() if "Exchange hashpartitioning(id" in line).split("]")[0]
 
 
+def test_names_with_equal_boxes_are_added_up_once(spark, monkeypatch):
+    pixels = spark.range(6).select("id", (F.col("id") % 2).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i")).select(
+        "id", "k", (F.col("i") / 4).cast("int").alias("y"), (F.col("i") % 4).alias("x"), F.col("i").alias("p"))
+    # names in both configurations, twice the same box, no name, no configuration
+    boxes = [(f"r{i}", k, 0, 0, 2, 2) for i in range(300) for k in (0, 1)]
+    boxes += [("twice", 0, 1, 1, 3, 3)] * 2 + [(None, 1, 1, 1, 3, 3), ("once", 0, 1, 1, 3, 3), ("none", None, 0, 0, 2, 2), ("half", 1, None, 0, 2, 2)]
+    rois = spark.createDataFrame(boxes, "roi string, k bigint, x1 int, y1 int, x2 int, y2 int")
+    inside = crop.pixels_in_rois(pixels, rois, ["k"], tile=2).groupBy("id", "roi").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("total"))
+    wanted = sorted(map(repr, inside.collect()))
+    assert len(wanted) == 6 * 300 + 3 * 3
+    for small in (crop.SMALL, 5000):
+        monkeypatch.setattr(crop, "SMALL", small)
+        found = crop.roi_figures(pixels, rois, "id", "roi", "p", ["k"], tile=2)
+        assert sorted(map(repr, found.collect())) == wanted
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    sums = re.findall(r"keys=\[id#\d+L?, (\w+)#[^\]]*\], functions=\[sum", plan)
+    assert sums and set(sums) == {"__shape"}  # nothing is grouped by image and name
+
+
 def test_only_sequences_and_their_items_are_nested():
     row = lambda at, path, order, label, value, items: dict(
         at=at, item_path=path, ord=order, label=label, value=value, items=items)
