@@ -7,6 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from checks import files as check_files
 from glyphray.operators import chain, checks, packed
 from glyphray.plans.headers import dump_headers, header_documents, header_failures
 from glyphray.plans.images import crop_images, read_text, report
@@ -335,3 +336,25 @@ def test_failures_come_from_the_same_pass(spark, tmp_path):
     assert len(lost) == 1 and lost[0]["path"].endswith("bad.dcm") and lost[0]["error"]
     slice_files(scanned, str(tmp_path / "slices"), str(tmp_path / "unsliced"))
     assert {r["error"] for r in spark.read.json(str(tmp_path / "unsliced")).collect()} >= {"no pixel data"}
+
+
+def test_files_of_tables_that_are_spread_already_are_built_where_the_rows_lie(spark, tmp_path):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    orders.coalesce(1).write.parquet(str(tmp_path / "one/orders.parquet"))
+    orders.repartition(16).write.option("parquet.page.size", 1024).parquet(str(tmp_path / "many/orders.parquet"))
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")}
+    try:
+        for key in was:
+            spark.conf.set(key, "4k")
+        one, many = (check_files.order_files(spark, str(tmp_path / name)) for name in ("one", "many"))
+        moved = ["Exchange" in df._jdf.queryExecution().executedPlan().toString() for df in (one, many)]
+        assert moved == [True, False]
+        assert one.count() == many.count() == orders.count() and one.exceptAll(many).count() == 0
+        found = check_files.header_errors(spark, str(tmp_path / "many"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "_nest" not in plan and "_of_bytes" in plan  # errors are known after the cut
+        bad = orders.filter("o_orderkey % 50 in (7, 9, 11)").count()
+        assert found.count() == bad > 0
+    finally:
+        for key, value in was.items():
+            spark.conf.set(key, value)
