@@ -16,15 +16,22 @@ from glyphray.session import work_folder
 from glyphray.sources import files, logs
 from glyphray.streaming.keyed import KeyedTable
 
+# Files of one batch; the driver holds the places and the tasks of all files of a batch at once.
+FILES = 10_000
+LOOK_UP = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 HEADERS = "patient_key string, path string, modificationTime timestamp, header map<string,string>"
 
 
 def new_files(spark: SparkSession, folder: str, per_trigger: int | None = None, archive: str | None = None) -> DataFrame:
-    """Stream of files created in one folder (not below it). With ``archive``, processed files are
-    moved there once their batch is committed."""
-    reader = spark.readStream.format("binaryFile").schema(files.BINARY_FILE)
-    if per_trigger:
-        reader = reader.option("maxFilesPerTrigger", per_trigger)
+    """Stream of files created in one folder (not below it), all of them, ``per_trigger`` (``FILES`` by default) in a batch.
+    With ``archive``, processed files are moved there once their batch is committed.
+
+    The session then looks files up in four tasks a core at most: Spark's own setting makes a task of each file of a batch.
+    """
+    few = 4 * spark.sparkContext.defaultParallelism
+    if int(spark.conf.get(LOOK_UP)) > few:
+        spark.conf.set(LOOK_UP, few)
+    reader = spark.readStream.format("binaryFile").schema(files.BINARY_FILE).option("maxFilesPerTrigger", per_trigger or FILES)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     return reader.load(folder)

@@ -110,3 +110,22 @@ def test_header_table_and_failures(spark, tmp_path):
     (folder / "three").write_bytes(header(b"9", b"3"))
     assert run() == {"A_B_1.json": "2", "A_B_9.json": "3"} == run()
     assert [r.path.rsplit("/", 1)[1] for r in spark.read.parquet(failed).collect()] == ["bad"]
+
+
+def test_arriving_files_come_in_bounded_batches_and_few_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(arrivals, "FILES", 40)
+    folder, table, state = tmp_path / "in", str(tmp_path / "t"), str(tmp_path / "c")
+    folder.mkdir()
+    for i in range(100):
+        (folder / str(i)).write_bytes(header(str(i).encode(), b"1") if i % 10 else b"y" * 300)
+    spark.conf.set(arrivals.LOOK_UP, 10_000)
+    try:
+        started = arrivals.start_header_stream(arrivals.new_files(spark, str(folder)), table, state)
+        started.awaitTermination()
+        assert int(spark.conf.get(arrivals.LOOK_UP)) == 4 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.unset(arrivals.LOOK_UP)
+    assert [p["numInputRows"] > 0 for p in started.recentProgress] == [True] * 3
+    assert spark.read.parquet(table).select("batch").distinct().count() == 3
+    assert spark.read.parquet(table).count() == 90
+    assert arrivals.current_headers(spark, table).count() == 90
